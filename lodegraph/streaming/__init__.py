@@ -1,0 +1 @@
+"""No streaming operators: the engine's inputs are static tables, so there is nothing here to build."""
