@@ -5,9 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-TABLES = "documents embeddings pages benchmark labels conversations".split()
-
+from pyspark.sql import functions as F
 
 def _vocabulary(name: str) -> str:
     import public_tokenizers
@@ -29,9 +27,48 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), _vocabulary("word_bpe_49k.json"), with_ids=False)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, mixed by source."""
+    from lodegraph.llm.mixing import label_weights, mix
+
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), quality=label_weights(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1, formatted and read back."""
+    from lodegraph.llm.chat import digests, format_turns, with_probe
+
+    return digests(format_turns(with_probe(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes."""
+    from lodegraph.llm.sharding import shard
+
+    out = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), 40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's URL."""
+    from lodegraph.llm.url_filter import judge, labelled_urls
+
+    pages, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("pages", "labels"))
+    return judge(pages, labelled_urls(pages, labels))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op2_packing": op2_packing}
+    return {
+        "op1_token_counts": op1_token_counts,
+        "op2_packing": op2_packing,
+        "op6_mixing": op6_mixing,
+        "op7_chat_format": op7_chat_format,
+        "op9_sharding": op9_sharding,
+        "op10_url_filter": op10_url_filter,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from lodegraph.llm import chat, mixing
+
+    return {"op6_mixing": mixing.SQL, "op7_chat_format": chat.SQL}
