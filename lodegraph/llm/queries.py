@@ -27,6 +27,15 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), _vocabulary("word_bpe_49k.json"), with_ids=False)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from three quarters of the labelled ones."""
+    from lodegraph.llm.langid import fit, held_out, identify
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("held_out", held_out(F.col("doc_id")))
+    model = fit(docs.where("not held_out"))
+    return identify(docs, model, keep=("doc_id", "held_out")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed by source."""
     from lodegraph.llm.mixing import label_weights, mix
@@ -61,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_packing": op2_packing,
+        "op4_language_id": op4_language_id,
         "op6_mixing": op6_mixing,
         "op7_chat_format": op7_chat_format,
         "op9_sharding": op9_sharding,
