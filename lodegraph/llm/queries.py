@@ -36,6 +36,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, keep=("doc_id", "held_out")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents: three-word shingles, similarity 0.85."""
+    from lodegraph.llm.near_dup import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, percent=85)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed by source."""
     from lodegraph.llm.mixing import label_weights, mix
@@ -71,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_packing": op2_packing,
         "op4_language_id": op4_language_id,
+        "op5_near_dedup": op5_near_dedup,
         "op6_mixing": op6_mixing,
         "op7_chat_format": op7_chat_format,
         "op9_sharding": op9_sharding,
