@@ -104,8 +104,8 @@ def repeated(mixed: DataFrame, columns: list[str], text_col: str = "text") -> Da
     """
     times = mixed.where("taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.expr("cast(ceil(taken / size) as int)"))))
     left = F.expr("least(taken - (_copy - 1) * size, size)")
-    # A prefix of n words, white space between them as it is; only at a source's cut.
-    cut = F.expr(r"regexp_extract(" + text_col + r", concat('^[\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*){', _left, '}'), 0)")
+    # The first words, each with the white space behind it; only at a source's cut.
+    cut = F.expr(rf"array_join(slice(regexp_extract_all({text_col}, '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*', 0), 1, cast(_left as int)), '')")
     cut_rows = times.withColumn("_left", left).withColumn(text_col, F.when(F.col("_left") < F.col("size"), cut).otherwise(F.col(text_col)))
     return cut_rows.select(*columns)
 

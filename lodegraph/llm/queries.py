@@ -27,6 +27,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), _vocabulary("word_bpe_49k.json"), with_ids=False)
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector."""
+    from lodegraph.llm.ann import nearest
+
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "id % 20 = 0", 20)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from three quarters of the labelled ones."""
     from lodegraph.llm.langid import fit, held_out, identify
@@ -57,6 +64,13 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_turns(with_probe(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
 
 
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate embeddings of equal label: cosine 0.98."""
+    from lodegraph.llm.vector_dup import vector_duplicates
+
+    return vector_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.98)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes."""
     from lodegraph.llm.sharding import shard
@@ -73,20 +87,30 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, labelled_urls(pages, labels))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_packing": op2_packing,
+        "op3_nearest": op3_nearest,
         "op4_language_id": op4_language_id,
         "op5_near_dedup": op5_near_dedup,
         "op6_mixing": op6_mixing,
         "op7_chat_format": op7_chat_format,
+        "op8_vector_dedup": op8_vector_dedup,
         "op9_sharding": op9_sharding,
         "op10_url_filter": op10_url_filter,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from lodegraph.llm import chat, mixing
+    from lodegraph.llm import chat, mixing, vector_dup
 
-    return {"op6_mixing": mixing.SQL, "op7_chat_format": chat.SQL}
+    return {"op6_mixing": mixing.SQL, "op7_chat_format": chat.SQL, "op8_vector_dedup": vector_dup.SQL}
