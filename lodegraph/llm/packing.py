@@ -29,68 +29,70 @@ from lodegraph.llm.common import bounded_arrow
 SEQUENCE = 4096
 END_ID = 2
 #: Words that a Python worker keeps the ids of; at that number it starts anew.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 1_000_000
 #: Letters that NFC leaves alone and whose lower case is one letter: a run of these is one word to the tokenizer.
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ſ]+\\Z")
 #: Signs that follow a word and make one pre-token with each other, but none with the letters before them.
 _SIGNS = ".,;:!?*#%$&()[]{}\"-_+=/\\@^~<>|`"
 
 
-class WordIds(dict):
+class WordIds:
     """Little-endian 32-bit ids of each word. The tokenizer drops white space and never
     joins words, so a text's ids are its words' ids; words are cut at space and line feed only."""
 
     def __init__(self, tokenizer_file: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        # Plain words in lower case are what normalization and splitting leave alone.
+        self.plain = Tokenizer.from_file(tokenizer_file)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.last[i] = piece.endswith("</w>")
-        self[""] = b""
+        self.ids: dict[str, bytes] = {"": b""}
 
     def one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def several(self, words: list[str]) -> None:
-        """Plain words, in one call: each ends at an id that ends a word."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        """Plain words in lower case, in one call: each ends at an id that ends a word."""
+        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words):
-            self.update((w, self.one(w)) for w in words)
+            self.ids.update((w, self.one(w)) for w in words)
             return
         raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-        self.update(zip(words, (raw[a:b] for a, b in zip(at, at[1:])), strict=True))
+        self.ids.update(zip(words, map(raw.__getitem__, map(slice, at, at[1:])), strict=True))
 
     def learn(self, missing: set[str]) -> None:
-        plain, signed, rest = set(), [], []
+        ids, plain, again = self.ids, set(), []
         for w in missing:
             core = w.rstrip(_SIGNS)
+            low = core.lower()
             if core and _PLAIN.match(core):
-                plain.add(core)
-                if len(core) < len(w):
-                    signed.append((w, core, w[len(core) :]))
+                plain.add(low)
+                if low != w:
+                    again.append((w, low, w[len(core) :]))
             else:
-                rest.append(w)
-        plain = {w for w in plain if w not in self}
+                ids[w] = self.one(w)
+        plain = plain.difference(ids)
         if plain:
             self.several(list(plain))
-        for w, core, tail in signed:
-            if tail not in self:
-                self[tail] = self.one(tail)
-            self[w] = self[core] + self[tail]
-        for w in rest:
-            self[w] = self.one(w)
+        for w, low, tail in again:
+            if tail not in ids:
+                ids[tail] = self.one(tail)
+            ids[w] = ids[low] + ids[tail]
 
     def text(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        if len(self) > KEPT_WORDS:
-            self.clear()
-            self[""] = b""
-        missing = {w for w in words if w not in self}
+        if len(self.ids) > KEPT_WORDS:
+            self.ids = {"": b""}
+        missing = set(words).difference(self.ids)
         if missing:
             self.learn(missing)
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.ids.__getitem__, words))
 
 
 _HELD: dict[str, WordIds] = {}
