@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.operators.signals import _add, _Fitted, settled
+from lodegraph.operators.signals import _add, _Fitted
 from lodegraph.plans.branch import named_nodes
+from lodegraph.sources.shared import settle
 
 
 def dot(a: str, b: str):
@@ -77,7 +78,7 @@ class MatrixFactorization(_Fitted):
 
     def _alternate(self, graph) -> tuple[DataFrame, DataFrame]:
         k = self.factors
-        pairs = settled(graph.edges([self.relation], False, False, self.user_type, self.item_type).distinct(), "factors-pairs")
+        pairs = settle(graph.edges([self.relation], False, False, self.user_type, self.item_type).distinct(), "factors-pairs")
         items = self._start(graph, pairs.select(F.col("d").alias("nid")).distinct()).join(pairs.select(F.col("d").alias("nid")).distinct(), "nid", "left_semi")
         gram = [(i, j) for i in range(k) for j in range(i, k)]
 
@@ -89,8 +90,8 @@ class MatrixFactorization(_Fitted):
         users = None
         for _ in range(self.iterations):
             users = half("s", "d", items)
-            items = settled(half("d", "s", users), "factors-items")
-        return settled(users if users is not None else items.where("false"), "factors-users"), items
+            items = settle(half("d", "s", users), "factors-items")
+        return settle(users if users is not None else items.where("false"), "factors-users"), items
 
     def vectors(self) -> DataFrame:
         return self.users.unionByName(self.items)
@@ -142,7 +143,7 @@ class DiffusedMatrixFactorization(MatrixFactorization):
         for t in own_types:  # nodes of these types without pairs have no factors at all
             if t in graph.tables:
                 means = means.join(graph.nodes(t), "nid", "left_anti")
-        return settled(own.unionByName(means), "factors-spread")
+        return settle(own.unionByName(means), "factors-spread")
 
     def edge_weight(self, graph, df, source, target, out):
         return self._pairwise(df, source, target, self.spread, out)

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodegraph.sources.shared import reachable
+
 TYPE_SHIFT = 48
 PLACE = (1 << TYPE_SHIFT) - 1
 #: Attributes that give a type's readable name, the first that exists.
@@ -128,6 +130,9 @@ class Graph:
     token: str = field(default_factory=lambda: uuid.uuid4().hex)
     memo: dict = field(default_factory=dict)
 
+    def __post_init__(self):
+        reachable(self.spark)
+
     # -- construction
 
     @classmethod

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.sources.graph import TYPE_SHIFT, Graph
+from lodegraph.sources.graph import TYPE_SHIFT, Graph, indexed
+from lodegraph.sources.shared import reachable
 
 #: The relation of an interaction file.
 INTERACTION = "has_interact"
@@ -60,6 +61,7 @@ def from_files(spark: SparkSession, kg: str | None = None, ui: str | None = None
     short rows and empty cells are nulls, an id's last row counts, and a second file of a
     type adds its columns by id. Nodes that only an attribute file names are in the graph.
     """
+    reachable(spark)
     keys, edges = [], None
     if kg is not None:
         triples = _lines(spark, kg, 0).where(F.size("f") >= 3).select("source", "line", F.col("f")[0].alias("h"), F.col("f")[1].alias("r"), F.col("f")[2].alias("t"))
@@ -95,8 +97,6 @@ def from_files(spark: SparkSession, kg: str | None = None, ui: str | None = None
     first = first.select("at", F.split("key", r"\.", 2)[0].alias("type"), F.get(F.split("key", r"\.", 2), F.lit(1)).alias("raw"), "key").cache()
     types = [r.type for r in first.groupBy("type").agg(F.min("at").alias("at")).orderBy("at").collect()]
     nodes, tables = None, {}
-    from lodegraph.sources.graph import indexed
-
     for i, type_ in enumerate(types):
         block = indexed(first.where(F.col("type") == type_).sort("at").select("key", "raw"), "place")
         block = block.select((F.lit(i << TYPE_SHIFT) + F.col("place")).alias("nid"), "key", "raw").cache()
