@@ -1,46 +1,20 @@
-"""What several operators share: bounded Arrow batches, the shared folder, components."""
+"""What several operators share: bounded Arrow batches, components."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodegraph.sources.shared import reachable, settle
+
 #: An Arrow batch handed to Python holds at most this many bytes (and at least one row).
 BATCH_BYTES = 8 << 20
 
 
 def bounded_arrow(spark: SparkSession) -> None:
-    """Bound the batches Spark hands to Python by bytes, for texts may be long; let workers find this package where the driver did."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+    """Bound the batches Spark hands to Python by bytes, for texts may be long; let workers find this package."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only a local master, as in tests, may do without it."""
-    set_to = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_to.isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", "")
-        if not named:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            named = tempfile.mkdtemp(prefix="lodegraph-")
-        spark.sparkContext.setCheckpointDir(named)
-        set_to = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return set_to.get()
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: it cuts lineage and outlives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    reachable(spark)
 
 
 def discard(*settled: DataFrame) -> None:
