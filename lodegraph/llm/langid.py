@@ -31,7 +31,7 @@ UNKNOWN = "und"
 #: Rows of each language that training takes at most, those with the least hash of their id.
 MOST_ROWS = 1500
 #: Words and byte strings that a Python worker keeps; at that number it starts anew.
-KEPT = 250_000
+KEPT = 800_000
 
 
 def _grams(word: bytes) -> Iterator[bytes]:
@@ -92,9 +92,11 @@ class Scorer:
         self.languages = languages
         self.trees = [Tree(g) for g in grams]
         self.grams = _Rows(len(languages), lambda gram: [t.bits(gram) for t in self.trees])
-        self.words = _Rows(len(languages), self.word)
+        self.words: dict[bytes, int] = {}
+        self.table = np.zeros((1024, len(languages)))
 
-    def word(self, word: bytes) -> np.ndarray:
+    def long_word(self, word: bytes) -> np.ndarray:
+        """Code lengths of a word that isn't kept, in parts."""
         s, out = b" " + word + b" ", np.zeros(len(self.languages))
         for a in range(1, len(s), 65536):
             if len(self.grams) > KEPT:
@@ -103,17 +105,36 @@ class Scorer:
             out += self.grams.table[ids].sum(axis=0)
         return out
 
+    def learn(self, words: set[bytes]) -> None:
+        """Keep the code lengths of new words, all in one pass."""
+        if len(self.grams) > KEPT:
+            self.grams.clear()
+        ids: list[int] = []
+        starts, row = [], self.grams.__getitem__
+        for word in words:
+            starts.append(len(ids))
+            s = b" " + word + b" "
+            ids += map(row, [s[: i + 1] for i in range(1, min(ORDER, len(s) - 1) + 1)])
+            ids += map(row, [s[i : i + ORDER + 1] for i in range(1, len(s) - ORDER)])
+        first = len(self.words)
+        if first + len(words) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((max(len(self.table), len(words)), len(self.languages)))])
+        self.table[first : first + len(words)] = np.add.reduceat(self.grams.table[ids], starts, axis=0)
+        self.words.update(zip(words, range(first, first + len(words)), strict=True))
+
     def text(self, text: str) -> np.ndarray:
         words = text.encode("utf-8", "surrogatepass").split()
-        if len(self.words) > KEPT:
-            self.words.clear()
-        long = [w for w in words if len(w) > 48]
+        long = [w for w in words if len(w) > 48] if len(max(words, key=len, default=b"")) > 48 else []
         if long:
             words = [w for w in words if len(w) <= 48]
-        rows = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        out = self.words.table[rows].sum(axis=0)
+        if len(self.words) > KEPT:
+            self.words = {}
+        new = set(words).difference(self.words)
+        if new:
+            self.learn(new)
+        out = self.table[list(map(self.words.__getitem__, words))].sum(axis=0)
         for w in long:
-            out = out + self.word(w)
+            out = out + self.long_word(w)
         return out
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
