@@ -281,10 +281,10 @@ def like_equality_band(g):
     return table(g.select(p.id, Score()).where(Like(p.p_size == 25, width=2)), "p", "score").withColumn("score", F.round("score", 9))
 
 
-@query("SELECT p_partkey AS p FROM part WHERE contains(lower(p_name), 'green') ORDER BY p_partkey LIMIT 3")
+@query("SELECT p_partkey AS p FROM part WHERE contains(lower(p_name), 'widget') ORDER BY p_partkey LIMIT 3")
 def like_contains_topk(g):
     p = Node("part")
-    return table(g.select(p.id).where(Like(p.label.is_in(["GREEN"]), k=3)), "p")
+    return table(g.select(p.id).where(Like(p.label.is_in(["WIDGET"]), k=3)), "p")
 
 
 @query()
