@@ -12,6 +12,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -245,7 +246,8 @@ def train(model: Translational, graph, epochs=50, batch_size=4096, lr=0.01, seed
         loss = float(np.mean(losses))
         if report:
             report(epoch, loss)
-    model.nodes = graph.spark.createDataFrame(pd.DataFrame({"nid": nids, **{t: list(v) for t, v in entity.items()}}), "nid bigint, " + ", ".join(f"{t} array<double>" for t in entity))
+    columns = {"nid": pa.array(nids), **{t: pa.array(list(v), pa.list_(pa.float64())) for t, v in entity.items()}}
+    model.nodes = graph.spark.createDataFrame(pa.table(columns))
     model.rels = {name: {t: v[i].tolist() for t, v in relation.items()} for i, name in enumerate(graph.relations)}
     model.meta = {"epochs": epochs, "lr": lr, "batch_size": batch_size, "sampler": "type", "graph_nodes": len(nids), "graph_edges": len(raw), "seconds": round(time.time() - began, 3), "loss": loss}
     return model
