@@ -88,6 +88,16 @@ class Rel:
         return format(str(self), spec)
 
 
+class Later(dict):
+    """A dict whose values may be functions that make them when first asked for."""
+
+    def __getitem__(self, key):
+        value = super().__getitem__(key)
+        if callable(value):
+            value = self[key] = value()
+        return value
+
+
 @dataclass
 class NodeTable:
     """Nodes of one type from a DataFrame: key column, attribute columns, label column.
@@ -122,8 +132,8 @@ class Graph:
     relations: list[str]
     #: type -> (nid, id, attributes)
     tables: dict[str, DataFrame]
-    #: relation -> [(source type or None, target type or None, (src, dst))]
-    parts: dict[str, list[tuple[str | None, str | None, DataFrame]]]
+    #: relation -> [(source type or None, target type or None, (src, dst) or what makes it)]
+    parts: dict[str, list[tuple]]
     labels: dict[str, str] = field(default_factory=dict)
     #: whether places are dense and in order of first appearance
     from_text: bool = False
@@ -140,33 +150,40 @@ class Graph:
         nodes, edges = list(nodes), list(edges)
         spark = nodes[0].df.sparkSession
         types = list(dict.fromkeys(t.type for t in nodes))
-        tables, keys, labels = {}, {}, {}
+        tables, keys, labels = Later(), Later(), {}
         for i, t in enumerate(nodes):
-            kind = dict(t.df.dtypes)[t.key]
             cols = [F.col(c) for c in t.attrs if c != t.key]
-            if kind in ("tinyint", "smallint", "int", "bigint"):
+            if dict(t.df.dtypes)[t.key] in ("tinyint", "smallint", "int", "bigint"):
                 nid = F.lit(i << TYPE_SHIFT) + F.col(t.key).cast("bigint")
                 tables[t.type] = t.df.where(F.col(t.key).isNotNull()).select(nid.alias("nid"), F.col(t.key).cast("bigint").alias("id"), *cols)
             else:
-                order = indexed(t.df.where(F.col(t.key).isNotNull()).select(t.key).distinct().sort(t.key), "place")
-                keys[t.type] = order.select(F.col(t.key).alias("id"), (F.lit(i << TYPE_SHIFT) + F.col("place")).alias("nid"))
-                named = keys[t.type]
-                if cols:
-                    named = named.join(t.df.withColumnRenamed(t.key, "id").select("id", *cols), "id")
-                tables[t.type] = named.select("nid", "id", *cols)
+
+                def numbered(i=i, t=t):
+                    order = indexed(t.df.where(F.col(t.key).isNotNull()).select(t.key).distinct().sort(t.key), "place")
+                    return order.select(F.col(t.key).alias("id"), (F.lit(i << TYPE_SHIFT) + F.col("place")).alias("nid"))
+
+                def whole(t=t, cols=cols):
+                    named = keys[t.type].join(t.df.withColumnRenamed(t.key, "id").select("id", *cols), "id") if cols else keys[t.type]
+                    return named.select("nid", "id", *cols)
+
+                keys[t.type], tables[t.type] = numbered, whole
             if t.label:
                 labels[t.type] = "id" if t.label == t.key else t.label
         parts: dict = {}
         for e in edges:
-            df, ends = e.df, []
-            for name, (type_, column) in (("src", e.source), ("dst", e.target)):
-                if type_ in keys:
-                    df = df.join(keys[type_].select(F.col("id").alias(f"_{name}_key"), F.col("nid").alias(f"_{name}")), F.col(column) == F.col(f"_{name}_key"))
-                    ends.append(F.col(f"_{name}"))
-                else:
-                    df = df.where(F.col(column).isNotNull())
-                    ends.append(F.lit(types.index(type_) << TYPE_SHIFT) + F.col(column).cast("bigint"))
-            parts.setdefault(e.relation, []).append((e.source[0], e.target[0], df.select(ends[0].alias("src"), ends[1].alias("dst"))))
+
+            def steps(e=e):
+                df, ends = e.df, []
+                for name, (type_, column) in (("src", e.source), ("dst", e.target)):
+                    if type_ in keys:
+                        df = df.join(keys[type_].select(F.col("id").alias(f"_{name}_key"), F.col("nid").alias(f"_{name}")), F.col(column) == F.col(f"_{name}_key"))
+                        ends.append(F.col(f"_{name}"))
+                    else:
+                        df = df.where(F.col(column).isNotNull())
+                        ends.append(F.lit(types.index(type_) << TYPE_SHIFT) + F.col(column).cast("bigint"))
+                return df.select(ends[0].alias("src"), ends[1].alias("dst"))
+
+            parts.setdefault(e.relation, []).append((e.source[0], e.target[0], steps))
         return cls(spark, types, list(parts), tables, parts, labels)
 
     # -- catalog
@@ -254,7 +271,7 @@ class Graph:
                     ends = (b, a) if reverse else (a, b)
                     if any(w is not None and w not in self.types or None not in (w, e) and w != e for w, e in zip((source, target), ends, strict=True)):
                         continue
-                    step = df
+                    step = df() if callable(df) else df
                     for want, end, col in zip((source, target), ends, (s, d), strict=True):
                         if want is not None and end is None:
                             step = step.where(F.shiftright(col, TYPE_SHIFT) == self.types.index(want))
