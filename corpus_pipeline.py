@@ -27,9 +27,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8. Rows that repeat an id are one."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8. Rows that repeat an id are one; rows without an id are known by their text."""
+    # Ids made of texts are above all real ones, which so stay where both are in a group.
+    known = F.coalesce(F.col("doc_id"), F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 61))
+    named = docs.withColumn("_id", known)
+    kept = near_duplicates(named, id_col="_id").where("kept").select(F.col("_id").alias("_kept")).distinct()
+    return named.join(kept, F.col("_id") == F.col("_kept"), "left_semi").dropDuplicates(["_id"]).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
