@@ -111,6 +111,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from lodegraph.llm import chat, mixing, vector_dup
+    from lodegraph.llm import chat, mixing, url_filter, vector_dup
 
-    return {"op6_mixing": mixing.SQL, "op7_chat_format": chat.SQL, "op8_vector_dedup": vector_dup.SQL}
+    return {"op6_mixing": mixing.SQL, "op7_chat_format": chat.SQL, "op8_vector_dedup": vector_dup.SQL, "op10_url_filter": url_filter.SQL}

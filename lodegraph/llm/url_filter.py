@@ -106,3 +106,31 @@ def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     bad = labels.where("doc_id is not null").groupBy("doc_id").agg((F.max(F.greatest(F.coalesce("toxic", F.lit(0)), 1 - F.coalesce("quality", F.lit(1)))) == 1).alias("bad"))
     urls = pages.where("url is not null").select("url", F.when(number != "", number).otherwise(None).cast("bigint").alias("n"))
     return urls.join(bad, F.col("n") == F.col("doc_id")).select("url", "bad")
+
+
+SQL = r"""
+WITH cut AS (SELECT page_id, url, coalesce(CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END, '') AS b FROM pages),
+named AS (SELECT page_id, url, b, translate(regexp_extract(b, '(?s)\A([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(b, '(?s)\A[^/?#]*([^?#]*)', 1) AS path FROM cut),
+listed AS (SELECT *, string_split(host, '.') AS labels FROM named),
+tokened AS (SELECT *, list_sort(list_distinct(
+    ['d=' || array_to_string(labels[greatest(len(labels) - 1, 1):len(labels)], '.')]
+    || list_transform(labels[1:greatest(len(labels) - 2, 0)], lambda x: 'h=' || x)
+    || list_transform(list_filter(string_split(path, '/'), lambda x: x <> '' AND NOT regexp_matches(x, '[0-9]')), lambda x: 'p=' || x)
+    || list_transform(list_filter(string_split(regexp_extract(b, '\?([^#]*)', 1), '&'), lambda x: x <> ''), lambda x: 'q=' || string_split(x, '=')[1])
+    || list_transform(list_filter([regexp_extract(b, '(?s)#(.*)', 1)], lambda x: x <> '' AND NOT regexp_matches(x, '[0-9]')), lambda x: 'f=' || x))) AS tokens FROM listed),
+judged AS (SELECT doc_id, max(greatest(coalesce(toxic, 0), 1 - coalesce(quality, 1))) = 1 AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+learnt AS (SELECT t.tokens, j.bad FROM tokened t JOIN judged j ON j.doc_id = TRY_CAST(nullif(regexp_extract(t.path, '/([0-9]{1,18})[^/]*/?$', 1), '') AS BIGINT) WHERE t.url IS NOT NULL),
+size AS (SELECT count(*) AS n, count(*) FILTER (bad) AS bad FROM learnt),
+subsets AS (SELECT list_transform(list_filter(generate_series(1, len(tokens)), lambda i: (mask >> (i - 1)::INTEGER) & 1 = 1), lambda i: tokens[i]) AS items, bad FROM learnt, unnest(generate_series(1, (1 << len(tokens)::INTEGER) - 1)) m(mask)),
+rules AS (SELECT items FROM subsets, size GROUP BY items, size.n, size.bad
+  HAVING size.n >= 25 AND count(*) FILTER (subsets.bad) >= ceil(greatest(0.002::DOUBLE, 25::DOUBLE / size.n) * size.n) AND (count(*) FILTER (subsets.bad))::DOUBLE / count(*) >= 0.3
+    AND (count(*) FILTER (subsets.bad))::DOUBLE / count(*) / (size.bad::DOUBLE / size.n) >= 1.5),
+hits AS (SELECT DISTINCT tokens FROM tokened WHERE EXISTS (SELECT 1 FROM rules WHERE list_has_all(tokens, items)))
+SELECT page_id, host, path,
+  CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/' WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule,
+  CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN tokens IN (SELECT tokens FROM hits) THEN 'block' ELSE 'allow' END AS verdict
+FROM tokened
+"""
