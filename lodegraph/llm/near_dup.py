@@ -9,12 +9,17 @@ round where shingles outnumber the bins. Bands of coordinates bring candidates
 together, and a candidate pair is a link only if its full sets say so.
 
 Documents of equal sets are one class; classes, not documents, are compared. In a
-band's bucket all classes are first held against one pivot of it, the class
-with the most company over all bands, then against a second one; components of the
-links so far are formed after each, and only classes of one bucket that are still in
-different components are compared with each other. So a bucket of many near copies
-costs a comparison each and not one for each pair, and no candidate pair that could join
-two components is left out.
+band's bucket all classes are first held against one pivot of it, the class with the
+most company over all bands, then against a second one. Components of the links so far
+are formed after each, and only classes of one bucket that are still in different
+components are compared further: in small buckets as pairs, in large ones in blocks
+of bounded size that return a forest of the links found and no pairs. So a bucket of
+many near copies costs a comparison each, and no candidate pair that could join two
+components is left out.
+
+Before full sets move, pairs are held to their sketches: where fewer coordinates
+agree than six standard deviations below the threshold's expectation, the pair can't be a link but
+once in a thousand million, as with the bands themselves.
 """
 
 from __future__ import annotations
@@ -28,6 +33,10 @@ from pyspark.sql import functions as F
 
 from lodegraph.llm.common import bounded_arrow, components, settle
 
+#: Classes of a bucket that are compared as pairs at most, and of either side of a block.
+PAIRED, BLOCK = 12, 1024
+#: Bits of the map of ids whose sets are wanted (8 MB).
+MAP_BITS = 26
 #: 32 bands of 6 coordinates miss a pair of similarity 0.85 once in 4 million, one of 0.8 once in 17 thousand.
 BANDS, ROWS = 32, 6
 
@@ -120,43 +129,137 @@ def band_keys(coordinates: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n, fp1, fp2, keys) of each row; fp1 and fp2 are a 128-bit digest of the set."""
+    """(doc_id, n, fp1, fp2, keys, sketch) of each row; fp1 and fp2 are a 128-bit digest of the set, sketch one byte of each coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            n, fp1, fp2, keys = [], [], [], []
+            n, fp1, fp2, keys, low = [], [], [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py(), size)
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 n.append(len(s))
                 fp1.append(int.from_bytes(d[:8], "big", signed=True))
                 fp2.append(int.from_bytes(d[8:], "big", signed=True))
-                keys.append(band_keys(sketch(s, bands * rows), bands, rows).view(np.int64) if len(s) else np.zeros(0, np.int64))
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "fp1", "fp2", "keys"])
+                coordinates = sketch(s, bands * rows) if len(s) else np.zeros(0, np.uint64)
+                keys.append(band_keys(coordinates, bands, rows).view(np.int64) if len(s) else np.zeros(0, np.int64))
+                low.append(coordinates.astype(np.uint8).tobytes())
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())], ["doc_id", "n", "fp1", "fp2", "keys", "sketch"])
+
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, fp1 bigint, fp2 bigint, keys array<bigint>, sketch binary")
+
+
+def _wanted_map(ids: DataFrame) -> np.ndarray:
+    """A bit for each hash of an id that is wanted; of fixed size, so it may be broadcast whatever the number of ids."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
+    rows = ids.select(place.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("m")).collect()
+    # Buckets of 32768 bits count from 1, their values from (k - 1) * 32768 + 1.
+    out = np.zeros((1 << MAP_BITS) // 8 + 8192, np.uint8)
+    for r in rows:
+        out[(r.k) * 4096 : (r.k + 1) * 4096] = np.frombuffer(r.m, np.uint8)
+    return out
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, fp1 bigint, fp2 bigint, keys array<bigint>")
 
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(doc_id, items) of the wanted classes: (doc_id, fp1, fp2). Texts stay in the scan's tasks; only wanted sets move."""
+    import xxhash  # noqa: F401  (its absence should show here)
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, items) of each row."""
+    mask = docs.sparkSession.sparkContext.broadcast(_wanted_map(wanted))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
+    rows = docs.where("doc_id is not null").select("doc_id", "text", F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            k, b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            asked = np.flatnonzero(mask.value[k * 4096 + (b >> 3)] >> (b & 7).astype(np.uint8) & 1)
+            ids, fp1, fp2, items = [], [], [], []
+            for i in asked.tolist():
+                s = shingles(batch.column(1)[i].as_py(), size)
+                d = xxhash.xxh3_128_digest(s.tobytes())
+                ids.append(batch.column(0)[i].as_py())
+                fp1.append(int.from_bytes(d[:8], "big", signed=True))
+                fp2.append(int.from_bytes(d[8:], "big", signed=True))
+                items.append(s.view(np.int64))
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "fp1", "fp2", "items"])
+
+    made = rows.mapInArrow(run, "doc_id bigint, fp1 bigint, fp2 bigint, items array<bigint>")
+    return made.join(wanted.distinct(), ["doc_id", "fp1", "fp2"], "left_semi").select("doc_id", "items")
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, percent: int, coordinates: int) -> DataFrame:
+    """Distinct pairs (a, b) whose sketches don't rule the link out."""
+    least = percent / 100 * coordinates - 6 * (percent / 100 * (1 - percent / 100) * coordinates) ** 0.5
+    left, right = sketches.toDF("a", "x"), sketches.toDF("b", "y")
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = [shingles(t.as_py(), size).view(np.int64) for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "items"])
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, coordinates) for c in (2, 3))
+                keep = np.flatnonzero((x == y).sum(axis=1) >= least)
+                yield pa.record_batch([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], ["a", "b"])
 
-    return docs.mapInArrow(run, "doc_id bigint, items array<bigint>")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return both.mapInArrow(agree, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links among distinct pairs (a, b): percent of the union, at least, in common."""
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
+    """The links among pairs (a, b): percent of the union, at least, in common."""
+    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("x", "y")).cast("bigint").alias("i"), (F.size("x") + F.size("y")).cast("bigint").alias("s"))
     return both.where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("s") - F.col("i"))).select("a", "b")
 
 
+def common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each of x with each of y, from a product of incidence matrices, some columns at a time."""
+    nx, ny = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+    items = np.concatenate([*x, *y])
+    rows = np.concatenate([np.repeat(np.arange(len(x)), nx), np.repeat(np.arange(len(y)), ny)])
+    left = np.arange(len(items)) < nx.sum()
+    _, column, times = np.unique(items, return_inverse=True, return_counts=True)
+    shared = times[column] > 1  # the others are in one set only
+    rows, left, column = rows[shared], left[shared], np.unique(column[shared], return_inverse=True)[1]
+    out = np.zeros((len(x), len(y)), np.float32)
+    wide = int(column.max(initial=-1)) + 1
+    for at in range(0, wide, 4096):
+        here = (column >= at) & (column < at + 4096)
+        a, b = np.zeros((len(x), 4096), np.float32), np.zeros((len(y), 4096), np.float32)
+        a[rows[here & left], column[here & left] - at] = 1
+        b[rows[here & ~left], column[here & ~left] - at] = 1
+        out += a @ b.T
+    return out
+
+
+def _block(percent: int):
+    """The links of two parts of a bucket as a forest: (a, b)."""
+    from lodegraph.llm.vector_dup import forest
+
+    def join(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            a, b = left.column(0).to_numpy(), right.column(0).to_numpy()
+            x, y = ([np.asarray(v.values) for v in t.column(1)] for t in (left, right))
+            na, nb = np.array([len(v) for v in x]), np.array([len(v) for v in y])
+            both = common(x, y).astype(np.int64)
+            linked = (100 * both >= percent * (na[:, None] + nb[None, :] - both)) & (a[:, None] != b[None, :])
+            linked &= left.column(2).to_numpy()[:, None] != right.column(2).to_numpy()[None, :]
+            out = forest(linked, a, b)
+        return pa.table([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], ["a", "b"])
+
+    return join
+
+
+def _in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes of different components c within each bucket: (key, doc_id, c, m members)."""
+    placed = members.withColumn("parts", F.expr(f"cast(ceil(m / {BLOCK}) as int)")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    placed = placed.join(sets, "doc_id").select("key", "doc_id", "items", "c", "part", "parts")
+    left = placed.withColumn("other", F.explode(F.sequence(F.col("part"), F.col("parts") - 1))).select("doc_id", "items", "c", "key", F.col("part").alias("i"), F.col("other").alias("j"))
+    right = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("part")))).select(*(F.col(c).alias(f"r_{c}") for c in ("doc_id", "items", "c", "key")), F.col("other").alias("r_i"), F.col("part").alias("r_j"))
+    return left.groupBy("key", "i", "j").cogroup(right.groupBy("r_key", "r_i", "r_j")).applyInArrow(_block(percent), "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, pivots: int = 2) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row.
 
@@ -179,8 +282,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = buckets.join(often, "key").distinct()
     company = members.groupBy("doc_id").agg(F.sum("m").alias("company"))
     members = settle(members.join(company, "doc_id").select("key", "doc_id", "n", "company"), "near-members")
-    wanted = members.select("doc_id").distinct()
-    sets = settle(_sets(source.join(wanted, "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id"]), "near-sets")
+    named = first.select("doc_id", "fp1", "fp2", "sketch").join(company.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sketches = settle(named, "near-sketches")
+    sets = settle(_sets(source, sketches.select("doc_id", "fp1", "fp2"), shingle).dropDuplicates(["doc_id"]), "near-sets")
+    sketches = sketches.select("doc_id", "sketch")
 
     links, joined = None, None
     for step in range(pivots + 1):
@@ -188,19 +293,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             now = members.withColumn("c", F.col("doc_id"))
         else:
             now = members.join(joined, F.col("doc_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "doc_id")).drop("node", "component")
-        open_ = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max(F.struct("company", F.negative("doc_id").alias("p"), "n", "c")).alias("top")).where("c0 <> c1")
+        open_ = now.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max(F.struct("company", F.negative("doc_id").alias("p"), "n", "c")).alias("top")).where("c0 <> c1")
         if step < pivots:
             tried = open_.select("key", F.negative("top.p").alias("pivot"), F.col("top.n").alias("pn"), F.col("top.c").alias("pc"))
             pairs = now.join(tried, "key").where(F.col("c") != F.col("pc")).select("doc_id", "n", F.col("pivot").alias("other"), F.col("pn").alias("on"))
             # A pivot has met its bucket: the next one is another class.
             members = settle(members.join(tried.select("key", "pivot"), "key", "left").where("pivot is null or pivot <> doc_id").drop("pivot"), "near-members")
         else:
-            here = now.join(open_.select("key"), "key", "left_semi")
+            left = settle(now.join(open_.select("key", "m"), "key").select("key", "doc_id", "n", "c", "m"), "near-open")
+            here = left.where(F.col("m") <= PAIRED).drop("m")
             there = here.select("key", F.col("doc_id").alias("other"), F.col("n").alias("on"), F.col("c").alias("oc"))
             pairs = here.join(there, "key").where("doc_id < other and c <> oc").select("doc_id", "n", "other", "on")
         sized = pairs.where(F.lit(100) * F.least("n", "on") >= F.lit(percent) * F.greatest("n", "on"))
         pairs = sized.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
-        found = settle(_verified(pairs, sets, percent), "near-links")
+        found = _verified(_likely(pairs, sketches, percent, bands * rows), sets, percent)
+        if step == pivots:
+            found = found.unionByName(_in_blocks(left.where(F.col("m") > PAIRED), sets, percent))
+        found = settle(found, "near-links")
         links = found if links is None else links.unionByName(found)
         joined = components(links, "a", "b")
 
