@@ -17,7 +17,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under a unigram vocabulary."""
     from lodegraph.llm.token_count import token_counts
 
-    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), _vocabulary("piece_bpe_32k.model"))
+    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), _vocabulary("piece_bpe_32k.model"), whole=True)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

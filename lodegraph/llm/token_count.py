@@ -5,10 +5,12 @@ programming carries, for each position, the best score and the number of pieces
 the path that has it. No path is kept. Ties go as in the public unigram
 tokenizers: of paths of equal score, the one whose last piece starts first stays.
 
-A word is what stands between white space, with U+2581 put before it, and is
-tokenized by itself (as with a splitting Metaspace pre-tokenizer), so its count can
-be kept: real texts repeat their words. A character that no piece covers alone
-counts as its UTF-8 bytes (byte fallback), or as one unknown piece for each run.
+A text is cut before each space, as a splitting Metaspace pre-tokenizer cuts it: a
+space is U+2581, one is put before a text that has none there, and each part is
+tokenized by itself, so its count can be kept: real texts repeat their words. Further
+spaces are parts of their own; line feeds, tabs and other white space stay in their
+part and count like any character. A character that no piece covers alone counts as
+its UTF-8 bytes (byte fallback), or as one unknown piece for each run.
 """
 
 from __future__ import annotations
@@ -92,6 +94,13 @@ class WordCounts(dict):
             self[word] = n
         return n
 
+    def text(self, text: str) -> int:
+        """Number of pieces of a whole text, white space included."""
+        if not text:
+            return 0
+        marked = text.replace(MARK, " ")
+        return sum(map(self.__getitem__, (marked[1:] if marked[0] == " " else marked).split(" ")))
+
 
 #: One for each vocabulary in a Python worker, kept between tasks.
 _HELD: dict[tuple, WordCounts] = {}
@@ -104,12 +113,15 @@ def word_counts(model_file: str, byte_fallback: bool = True) -> WordCounts:
     return _HELD[key]
 
 
-def token_counts(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text", byte_fallback: bool = True) -> DataFrame:
+def token_counts(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text", byte_fallback: bool = True, whole: bool = False) -> DataFrame:
     """(id_col, n_words, n_tokens) for every row, in the scan's own tasks: no shuffle.
 
-    model_file is a path that holds on every executor. A null or empty text, or one of
-    white space, has 0 words and 0 tokens. Repeated rows give repeated results, other
-    columns are not read, an empty table gives an empty result, null ids are kept.
+    model_file is a path that holds on every executor. With whole, n_tokens is what the
+    tokenizer gives for the text as it stands; without, what it gives for the words
+    alone, joined by single spaces. n_words counts what stands between white space. A null
+    or empty text has 0 words and 0 tokens; one of white space has 0 words, and tokens only
+    with whole. Repeated rows give repeated results, other columns are not read, an empty
+    table gives an empty result, null ids are kept.
     """
     bounded_arrow(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
@@ -119,9 +131,10 @@ def token_counts(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", te
         for batch in batches:
             words, tokens = [], []
             for text in batch.column(1):
-                parts = (text.as_py() or "").split()
+                text = text.as_py() or ""
+                parts = text.split()
                 words.append(len(parts))
-                tokens.append(sum(map(held.__getitem__, parts)))
+                tokens.append(held.text(text) if whole else sum(map(held.__getitem__, parts)))
             yield pa.record_batch([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["id", "n_words", "n_tokens"])
 
     kind = rows.schema["id"].dataType.simpleString()

@@ -27,6 +27,21 @@ def test_counts_equal_a_unigram_tokenizer(byte_fallback):
         assert sum(counts[w] for w in words) == len(tokenizer.encode(" ".join(words)).ids), text
 
 
+@pytest.mark.parametrize("byte_fallback", [False, True])
+def test_counts_of_whole_texts_equal_a_unigram_tokenizer(byte_fallback):
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocabulary = token_count.unigram_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    whole = [("<unk>", 0.0), *vocabulary, *([(f"<0x{i:02X}>", -1.0) for i in range(256)] if byte_fallback else [])]
+    tokenizer = Tokenizer(models.Unigram(whole, 0, byte_fallback))
+    tokenizer.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always")
+    counts = token_count.WordCounts(vocabulary, byte_fallback)
+    spaced = ["\n", "a\nb", "a  b", " a", "a ", "   ", "\ta\r\n\n b", "a▁b", "▁", "▁ a", "a \n 漢\n漢", " ".join(TEXTS), "\n".join(TEXTS)]
+    for text in [*TEXTS, *spaced, *pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()]:
+        assert counts.text(text or "") == len(tokenizer.encode(text or "").ids), text
+
+
 def test_ties_keep_the_longest_last_piece():
     vocabulary = [("▁", -1.0), ("a", -1.0), ("▁a", -2.0), ("aa", -2.0), ("▁aa", -3.0)]
     assert [token_count.WordCounts(vocabulary)[w] for w in ("a", "aa", "aaa")] == [1, 1, 2]

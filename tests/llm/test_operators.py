@@ -39,6 +39,11 @@ def test_token_counts(docs, none):
     assert token_count.token_counts(none, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_token_counts_of_whole_texts(docs):
+    rows = token_count.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), whole=True).where("doc_id in (5, 6, 7, 8)").collect()
+    assert sorted((r.doc_id, r.n_words, r.n_tokens) for r in rows)[:3] == [(5, 0, 0), (6, 0, 0), (7, 0, 3)]
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
