@@ -186,18 +186,37 @@ def anti_join(g):
     return table(g.select(c.id, n.id).where(c.id < 10, ~Has(c, "in_nation", n)), "c", "n")
 
 
+@query("SELECT c_custkey AS c, n_nationkey::BIGINT AS n FROM customer CROSS JOIN nation WHERE c_nationkey <> n_nationkey")
+def anti_join_whole(g):
+    c, n = Node("customer"), Node("nation")
+    return table(g.select(c.id, n.id).where(~Has(c, "in_nation", n)), "c", "n")
+
+
 @query("SELECT DISTINCT s_suppkey AS s FROM supplier CROSS JOIN nation WHERE n_nationkey < 2 AND s_nationkey <> n_nationkey")
 def anti_join_hidden(g):
     s, n = Node("supplier"), Node("nation")
     return table(g.select(s.id).where(n.id < 2, ~Has(s, "in_nation", n)), "s")
 
 
+@query("SELECT DISTINCT s_suppkey AS s FROM supplier CROSS JOIN nation WHERE s_nationkey <> n_nationkey")
+def anti_join_hidden_whole(g):
+    s, n = Node("supplier"), Node("nation")
+    return table(g.select(s.id).where(~Has(s, "in_nation", n)), "s")
+
+
 @query("SELECT o_orderkey AS o, p_partkey AS p FROM orders CROSS JOIN part WHERE o_orderkey < 20 AND p_partkey < 50 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_partkey = p_partkey)")
 def anti_multi_rel(g):
     o, p = Node("order"), Node("part")
     return table(g.select(o.id, p.id).where(o.id < 20, p.id < 50, ~Has(o, ("contains", "nothing"), p)), "o", "p")
 
 
+@query("SELECT p_partkey AS p, b.p_brand AS b FROM part CROSS JOIN (SELECT DISTINCT p_brand FROM part) b WHERE part.p_brand <> b.p_brand")
+def anti_multi_rel_whole(g):
+    """Parts and brands, for all orders and all parts are too many pairs to be a result."""
+    p, b = Node("part"), Node("brand")
+    return table(g.select(p.id, b.id).where(~Has(p, ("has_brand", "nothing"), b)), "p", "b")
+
+
 @query("SELECT n_nationkey::BIGINT AS n, r_regionkey::BIGINT AS r FROM nation CROSS JOIN region")
 def cross_product(g):
     n, r = Node("nation"), Node("region")
@@ -335,7 +354,7 @@ def pagerank_rwr(g):
 def mf_user_topk(g):
     c, i = Node("customer"), Node("item")
     mf = MatrixFactorization(factors=4, iterations=3, item_type="item", user_type="customer")
-    return table(g.select(c.id, i.id, Score()).where(Has(c, "has_interact", i), c.id < 20).groupby(c).rank(mf).top(3), "c", "i", "score")
+    return table(g.select(c.id, i.id, Score()).where(Has(c, "has_interact", i)).groupby(c).rank(mf).top(3), "c", "i", "score")
 
 
 @query()
@@ -375,6 +394,12 @@ def greedy_beam_degree(g):
     return table(g.select(o.id, p.id).where(Has(o, "contains", p), o.id < 200).rank(_ByDegree()).using(Greedy(k=2)), "o", "p")
 
 
+@query("WITH d AS (SELECT l_partkey AS p, count(*) AS n FROM lineitem GROUP BY l_partkey), k AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem) SELECT o, p FROM (SELECT o, p, row_number() OVER (PARTITION BY o ORDER BY n DESC, p) AS r FROM k JOIN d USING (p)) WHERE r <= 2")
+def greedy_beam_degree_whole(g):
+    o, p = Node("order"), Node("part")
+    return table(g.select(o.id, p.id).where(Has(o, "contains", p)).rank(_ByDegree()).using(Greedy(k=2)), "o", "p")
+
+
 @query("SELECT DISTINCT user_id AS c, json_extract_string(props, '$.k')::BIGINT AS i FROM events WHERE value BETWEEN 50 AND 100 AND json_extract_string(props, '$.k') IS NOT NULL")
 def interactions_rating_filter(g):
     rated = Graph(g.spark, g.types, ["has_interact"], g.tables, {"has_interact": [(a, b, df) for a, b, df in g.memo["rated"]]})
