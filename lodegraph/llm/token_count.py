@@ -21,13 +21,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodegraph.llm.common import bounded_arrow
+from lodegraph.llm.common import CACHE_BYTES, bounded_arrow, held
 
 MARK = "▁"
 #: Score that an unknown character has below the least score of the vocabulary.
 UNKNOWN_PENALTY = 10.0
-#: Words that a Python worker keeps the counts of; at that number it starts anew.
-KEPT_WORDS = 400_000
+#: Words that a Python worker keeps the counts of; at that number it starts anew. Longer words than LONGEST are counted each time.
+KEPT_WORDS, LONGEST = CACHE_BYTES // 160, 64
 
 
 def unigram_vocabulary(model_file: str) -> list[tuple[str, float]]:
@@ -88,7 +88,7 @@ class WordCounts(dict):
 
     def __missing__(self, word: str) -> int:
         n = self.viterbi(MARK + word)
-        if len(word) <= 64:
+        if len(word) <= LONGEST:
             if len(self) >= KEPT_WORDS:
                 self.clear()
             self[word] = n
@@ -102,15 +102,8 @@ class WordCounts(dict):
         return sum(map(self.__getitem__, (marked[1:] if marked[0] == " " else marked).split(" ")))
 
 
-#: One for each vocabulary in a Python worker, kept between tasks.
-_HELD: dict[tuple, WordCounts] = {}
-
-
 def word_counts(model_file: str, byte_fallback: bool = True) -> WordCounts:
-    key = (model_file, byte_fallback)
-    if key not in _HELD:
-        _HELD[key] = WordCounts(unigram_vocabulary(model_file), byte_fallback)
-    return _HELD[key]
+    return held(("token_count", model_file, byte_fallback), lambda: WordCounts(unigram_vocabulary(model_file), byte_fallback))
 
 
 def token_counts(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text", byte_fallback: bool = True, whole: bool = False) -> DataFrame:
