@@ -21,6 +21,8 @@ from lodegraph.llm.common import settle
 
 #: Ranges of keys of one source.
 RANGES = 4096
+#: Sources whose cuts (one row each) are broadcast; those of more sources are joined, each copied to SALTS parts of its source's rows.
+MOST_BROADCAST, SALTS = 50_000, 64
 #: What words are made of: no space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -69,7 +71,10 @@ def _plan(rows: DataFrame, cycle: tuple[float, ...], cap: float) -> DataFrame:
     return goal.join(cut, F.expr("source <=> cut_source"), "left").drop("cut_source")
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", quality: DataFrame | None = None, cycle: tuple[float, ...] = (1, 2, 3), cap: float = 3, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(
+    docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", quality: DataFrame | None = None,
+    cycle: tuple[float, ...] = (1, 2, 3), cap: float = 3, seed: str = "mix", keep: tuple[str, ...] = (),
+) -> DataFrame:
     """For every row: (id_col, size, source_size, target, taken), and the columns named in keep.
 
     size is the number of words, taken how many words the mix takes of the row, repeats
@@ -88,13 +93,22 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
         rows = rows.join(weights, F.col("_id") == F.col("_qid"), "left").drop("_qid").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     rows = rows.withColumn("id_key", key).withColumn("key", exponential_key(F.col("id_key"), F.col("weight"), seed))
     rows = rows.withColumn("range", F.floor(F.lit(RANGES) * (1 - F.exp(-F.col("key")))).cast("int")).drop("weight")
+    # Sources are few and one may have most rows: cuts are found from slim rows, and meet the rows where those are.
+    slim = settle(rows if not keep else rows.select("source", "size", "key", "id_key", "range"), "mix-rows")
     if not keep:
-        rows = settle(rows, "mix-rows")
-    plan = _plan(rows.select("source", "size", "key", "id_key", "range"), cycle, cap)
+        rows = slim
+    plan = settle(_plan(slim.select("source", "size", "key", "id_key", "range"), cycle, cap).withColumnRenamed("source", "plan_source"), "mix-cuts")
+    same = F.col("source").eqNullSafe(F.col("plan_source"))
+    if plan.count() <= MOST_BROADCAST:
+        taken = rows.join(F.broadcast(plan), same)
+    else:
+        salted = plan.withColumn("plan_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        taken = rows.withColumn("salt", F.pmod(F.xxhash64("id_key"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("salt") == F.col("plan_salt")))
     behind = F.expr("key > cut_key or (key = cut_key and id_key > cut_id)")
-    part = F.when(F.col("cut_key").isNull(), F.lit(0)).when(F.expr("key = cut_key and id_key = cut_id"), F.expr("size * cut_left div cut_size")).when(behind, F.lit(0)).otherwise(F.col("size"))
-    taken = rows.alias("r").join(plan.withColumnRenamed("source", "plan_source").alias("p"), F.expr("r.source <=> p.plan_source"))
-    return taken.select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("bigint").alias("taken"), *(F.col(f"_keep_{c}").alias(c) for c in keep if c != id_col))
+    at_cut = F.expr("key = cut_key and id_key = cut_id")
+    part = F.when(F.col("cut_key").isNull(), F.lit(0)).when(at_cut, F.expr("size * cut_left div cut_size")).when(behind, F.lit(0)).otherwise(F.col("size"))
+    count = (F.col("epochs") * F.col("size") + part).cast("bigint").alias("taken")
+    return taken.select(F.col("_id").alias(id_col), "size", "source_size", "target", count, *(F.col(f"_keep_{c}").alias(c) for c in keep if c != id_col))
 
 
 def repeated(mixed: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
