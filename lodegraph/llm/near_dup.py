@@ -31,58 +31,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import bounded_arrow, components, settle
+from lodegraph.llm.common import GOLDEN, bounded_arrow, bytes_of, components, discard, hashed_words, let_go, mix, parts, settle
 
-#: Classes of a bucket that are compared as pairs at most, and of either side of a block.
-PAIRED, BLOCK = 12, 1024
+#: Classes of a bucket that are compared as pairs at most, and of either side of a block, and shingles of these.
+PAIRED, BLOCK, BLOCK_ITEMS = 12, 1024, 1 << 20
 #: Bits of the map of ids whose sets are wanted (8 MB).
 MAP_BITS = 26
 #: 32 bands of 6 coordinates miss a pair of similarity 0.85 once in 4 million, one of 0.8 once in 17 thousand.
 BANDS, ROWS = 32, 6
 
-_MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_GOLDEN = 0x9E3779B97F4A7C15
+_MIX2 = np.uint64(0x94D049BB133111EB)
 _U = np.uint64
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """The finalizer of splitmix64, on arrays."""
-    x = (x ^ (x >> _U(30))) * _MIX1
-    x = (x ^ (x >> _U(27))) * _MIX2
-    return x ^ (x >> _U(31))
-
-
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(_GOLDEN))
-#: An odd base and its inverse modulo 2^64, and their powers along a text.
-_BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
+#: Space, tab, line feed, vertical tab, form feed, carriage return.
+_SPACE = bytes_of(0x20, *range(0x09, 0x0E))
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z in lower case, in order: a polynomial of its bytes, from one pass of prefix sums."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.uint64)
-    space = _SPACE[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    up, down = _powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each word, A-Z in lower case, in order."""
+    raw = text.encode("utf-8", "surrogatepass").lower()
+    found = [hashed_words(np.frombuffer(part, np.uint8), _SPACE)[2] for part in parts(raw, _SPACE)]
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -93,7 +61,7 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     k = min(size, len(words))
     out = np.full(len(words) - k + 1, k, np.uint64)
     for i in range(k):
-        out = mix(out * _U(_GOLDEN) + words[i : len(words) - k + 1 + i])
+        out = mix(out * _U(GOLDEN) + words[i : len(words) - k + 1 + i])
     return np.unique(out)
 
 
@@ -122,18 +90,19 @@ def sketch(items: np.ndarray, bins: int) -> np.ndarray:
 def band_keys(coordinates: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit key for each band."""
     table = coordinates.reshape(bands, rows)
-    key = np.arange(1, bands + 1, dtype=np.uint64) * _U(_GOLDEN)
+    key = np.arange(1, bands + 1, dtype=np.uint64) * _U(GOLDEN)
     for i in range(rows):
         key = mix(key ^ table[:, i] * _MIX2)
     return key
 
 
 def _signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n, fp1, fp2, keys, sketch) of each row; fp1 and fp2 are a 128-bit digest of the set, sketch one byte of each coordinate."""
+    """(doc_id, tag, n, fp1, fp2, keys, sketch) of each row; fp1 and fp2 are a 128-bit digest of the set, sketch one byte of each coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        let_go()
         for batch in batches:
             n, fp1, fp2, keys, low = [], [], [], [], []
             for text in batch.column(1):
@@ -145,15 +114,18 @@ def _signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 coordinates = sketch(s, bands * rows) if len(s) else np.zeros(0, np.uint64)
                 keys.append(band_keys(coordinates, bands, rows).view(np.int64) if len(s) else np.zeros(0, np.int64))
                 low.append(coordinates.astype(np.uint8).tobytes())
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())], ["doc_id", "n", "fp1", "fp2", "keys", "sketch"])
+            whole = [pa.array(c, pa.int64()) for c in (n, fp1, fp2)]
+            made = [batch.column(0), batch.column(2), *whole, pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())]
+            yield pa.record_batch(made, ["doc_id", "tag", "n", "fp1", "fp2", "keys", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, fp1 bigint, fp2 bigint, keys array<bigint>, sketch binary")
+    return docs.select("doc_id", "text", "tag").mapInArrow(run, "doc_id bigint, tag bigint, n bigint, fp1 bigint, fp2 bigint, keys array<bigint>, sketch binary")
 
 
 def _wanted_map(ids: DataFrame) -> np.ndarray:
     """A bit for each hash of an id that is wanted; of fixed size, so it may be broadcast whatever the number of ids."""
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
-    rows = ids.select(place.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("m")).collect()
+    buckets = ids.select(place.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k"))
+    rows = buckets.agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("m")).collect()
     # Buckets of 32768 bits count from 1, their values from (k - 1) * 32768 + 1.
     out = np.zeros((1 << MAP_BITS) // 8 + 8192, np.uint8)
     for r in rows:
@@ -162,31 +134,31 @@ def _wanted_map(ids: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(doc_id, items) of the wanted classes: (doc_id, fp1, fp2). Texts stay in the scan's tasks; only wanted sets move."""
+    """(node, items) of the wanted classes: (node, doc_id, fp1, fp2). Texts stay in the scan's tasks; only wanted sets move."""
     import xxhash  # noqa: F401  (its absence should show here)
 
     mask = docs.sparkSession.sparkContext.broadcast(_wanted_map(wanted))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
-    rows = docs.where("doc_id is not null").select("doc_id", "text", F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("b"))
+    rows = docs.select("text", F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        let_go()
         for batch in batches:
-            k, b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            k, b = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             asked = np.flatnonzero(mask.value[k * 4096 + (b >> 3)] >> (b & 7).astype(np.uint8) & 1)
-            ids, fp1, fp2, items = [], [], [], []
+            fp1, fp2, items = [], [], []
             for i in asked.tolist():
-                s = shingles(batch.column(1)[i].as_py(), size)
+                s = shingles(batch.column(0)[i].as_py(), size)
                 d = xxhash.xxh3_128_digest(s.tobytes())
-                ids.append(batch.column(0)[i].as_py())
                 fp1.append(int.from_bytes(d[:8], "big", signed=True))
                 fp2.append(int.from_bytes(d[8:], "big", signed=True))
                 items.append(s.view(np.int64))
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "fp1", "fp2", "items"])
+            yield pa.record_batch([pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(items, pa.list_(pa.int64()))], ["fp1", "fp2", "items"])
 
-    made = rows.mapInArrow(run, "doc_id bigint, fp1 bigint, fp2 bigint, items array<bigint>")
-    return made.join(wanted.distinct(), ["doc_id", "fp1", "fp2"], "left_semi").select("doc_id", "items")
+    made = rows.mapInArrow(run, "fp1 bigint, fp2 bigint, items array<bigint>")
+    return made.join(wanted.select("node", "fp1", "fp2"), ["fp1", "fp2"]).select("node", "items")
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, percent: int, coordinates: int) -> DataFrame:
@@ -252,68 +224,122 @@ def _block(percent: int):
 
 
 def _in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between classes of different components c within each bucket: (key, doc_id, c, m members)."""
-    placed = members.withColumn("parts", F.expr(f"cast(ceil(m / {BLOCK}) as int)")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    placed = placed.join(sets, "doc_id").select("key", "doc_id", "items", "c", "part", "parts")
-    left = placed.withColumn("other", F.explode(F.sequence(F.col("part"), F.col("parts") - 1))).select("doc_id", "items", "c", "key", F.col("part").alias("i"), F.col("other").alias("j"))
-    right = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("part")))).select(*(F.col(c).alias(f"r_{c}") for c in ("doc_id", "items", "c", "key")), F.col("other").alias("r_i"), F.col("part").alias("r_j"))
+    """Links (a, b) between classes of different components c within each bucket: (key, node, c, m members of t shingles)."""
+    many = F.expr(f"cast(greatest(ceil(m / {BLOCK}), ceil(t / {BLOCK_ITEMS})) as int)")
+    placed = members.withColumn("parts", many).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    placed = placed.join(sets, "node").select("key", "node", "items", "c", "part", "parts")
+    left = placed.withColumn("other", F.explode(F.sequence(F.col("part"), F.col("parts") - 1))).select("node", "items", "c", "key", F.col("part").alias("i"), F.col("other").alias("j"))
+    right = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("part")))).select(*(F.col(c).alias(f"r_{c}") for c in ("node", "items", "c", "key")), F.col("other").alias("r_i"), F.col("part").alias("r_j"))
     return left.groupBy("key", "i", "j").cogroup(right.groupBy("r_key", "r_i", "r_j")).applyInArrow(_block(percent), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, pivots: int = 2) -> DataFrame:
-    """(id_col, n_shingles, component_id, kept) for every row.
+def _nodes(signed: DataFrame) -> DataFrame:
+    """(node, rep, n, fp1, fp2) of every class: rows of equal sets, rep their least id, node the number it is compared under.
 
-    Rows are linked whose sets have 100 * intersection >= percent * union; component_id is
-    the least id reachable over links, kept whether it is the row's own. A null or empty
-    text, or one of white space, has no shingles and is linked with nothing; rows that
-    repeat an id or a text are in one class with them. A null id stays null, has its class's
-    component (null if it has none) and isn't kept. An empty table gives an empty result.
-    Other columns are not read. Shingles are held as 64-bit hashes.
+    The node is rep itself; only where an id repeats with another set, or a class has no id,
+    it is made from the set's digest, below all ids above -2^62.
+    """
+    classes = signed.where("n > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    classes = settle(classes, "near-classes")
+    shared = classes.where("rep is not null").groupBy(F.col("rep").alias("shared")).agg(F.count("*").alias("times")).where("times > 1")
+    made = F.lit(-(1 << 63)) + F.xxhash64("fp1", "fp2").bitwiseAND(F.lit((1 << 62) - 1))
+    named = classes.where("rep is not null").join(shared, F.col("rep") == F.col("shared"), "left").withColumn("node", F.when(F.col("times").isNull(), F.col("rep")).otherwise(made))
+    return named.select("node", "rep", "n", "fp1", "fp2").unionByName(classes.where("rep is null").select(made.alias("node"), "rep", "n", "fp1", "fp2"))
+
+
+def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, pivots: int = 2) -> DataFrame:
+    """(doc_id, tag, n, component, least) for every row: tag is xxhash64 of the text, n the size of its set,
+    component the number of its group of near duplicates and least the least id in it (null if it has none); both null where n is 0.
     """
     bounded_arrow(docs.sparkSession)
-    source = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    text = docs[text_col].cast("string")
+    source = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"))
     signed = settle(_signatures(source, shingle, bands, rows), "near-signatures")
-    plain = signed.select("doc_id", "n", "fp1", "fp2")
-    # Equal sets are one class; its least id stands for it.
-    classes = settle(plain.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "near-classes")
-    first = signed.join(classes.select(F.col("rep").alias("doc_id"), F.col("fp1").alias("f1"), F.col("fp2").alias("f2")), "doc_id").where("fp1 = f1 and fp2 = f2")
-    buckets = first.select("doc_id", "n", F.explode("keys").alias("key"))
+    plain = signed.select("doc_id", "tag", "n", "fp1", "fp2")
+    classes = settle(_nodes(plain), "near-nodes")
+    # One row's keys and sketch stand for a class: its least id's, or any of those without an id.
+    named = classes.where("rep is not null").select("node", "rep", F.col("fp1").alias("f1"), F.col("fp2").alias("f2"))
+    first = signed.join(named, F.col("doc_id") == F.col("rep")).where("fp1 = f1 and fp2 = f2").select("node", "doc_id", "n", "fp1", "fp2", "keys", "sketch")
+    nameless = signed.where("doc_id is null and n > 0").join(classes.where("rep is null").select("node", "fp1", "fp2"), ["fp1", "fp2"])
+    nameless = nameless.groupBy("node", "doc_id", "n", "fp1", "fp2").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    first = first.unionByName(nameless)
+    buckets = first.select("node", "n", F.explode("keys").alias("key"))
     often = buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     members = buckets.join(often, "key").distinct()
-    company = members.groupBy("doc_id").agg(F.sum("m").alias("company"))
-    members = settle(members.join(company, "doc_id").select("key", "doc_id", "n", "company"), "near-members")
-    named = first.select("doc_id", "fp1", "fp2", "sketch").join(company.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sketches = settle(named, "near-sketches")
-    sets = settle(_sets(source, sketches.select("doc_id", "fp1", "fp2"), shingle).dropDuplicates(["doc_id"]), "near-sets")
-    sketches = sketches.select("doc_id", "sketch")
-
-    links, joined = None, None
+    company = members.groupBy("node").agg(F.sum("m").alias("company"))
+    members = settle(members.join(company, "node").select("key", "node", "n", "company"), "near-members")
+    met = first.select("node", "doc_id", "fp1", "fp2", "sketch").join(company.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    sketches = settle(met, "near-sketches")
+    sets = settle(_sets(source, sketches.select("node", "doc_id", "fp1", "fp2"), shingle).dropDuplicates(["node"]), "near-sets")
+
+    links, joined, spent = None, None, [members, sketches, sets]
+    sketches = sketches.select("node", "sketch")
     for step in range(pivots + 1):
         if joined is None:
-            now = members.withColumn("c", F.col("doc_id"))
+            now = members.withColumn("c", F.col("node"))
         else:
-            now = members.join(joined, F.col("doc_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "doc_id")).drop("node", "component")
-        open_ = now.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max(F.struct("company", F.negative("doc_id").alias("p"), "n", "c")).alias("top")).where("c0 <> c1")
+            found = joined.select(F.col("node").alias("of"), "component")
+            now = members.join(found, F.col("node") == F.col("of"), "left").withColumn("c", F.coalesce("component", "node")).drop("of", "component")
+        top = F.max(F.struct("company", F.negative("node").alias("p"), "n", "c")).alias("top")
+        open_ = now.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("t"), F.min("c").alias("c0"), F.max("c").alias("c1"), top).where("c0 <> c1")
         if step < pivots:
             tried = open_.select("key", F.negative("top.p").alias("pivot"), F.col("top.n").alias("pn"), F.col("top.c").alias("pc"))
-            pairs = now.join(tried, "key").where(F.col("c") != F.col("pc")).select("doc_id", "n", F.col("pivot").alias("other"), F.col("pn").alias("on"))
+            pairs = now.join(tried, "key").where(F.col("c") != F.col("pc")).select("node", "n", F.col("pivot").alias("other"), F.col("pn").alias("on"))
             # A pivot has met its bucket: the next one is another class.
-            members = settle(members.join(tried.select("key", "pivot"), "key", "left").where("pivot is null or pivot <> doc_id").drop("pivot"), "near-members")
+            members = settle(members.join(tried.select("key", "pivot"), "key", "left").where("pivot is null or pivot <> node").drop("pivot"), "near-members")
+            spent.append(members)
         else:
-            left = settle(now.join(open_.select("key", "m"), "key").select("key", "doc_id", "n", "c", "m"), "near-open")
-            here = left.where(F.col("m") <= PAIRED).drop("m")
-            there = here.select("key", F.col("doc_id").alias("other"), F.col("n").alias("on"), F.col("c").alias("oc"))
-            pairs = here.join(there, "key").where("doc_id < other and c <> oc").select("doc_id", "n", "other", "on")
+            left = settle(now.join(open_.select("key", "m", "t"), "key").select("key", "node", "n", "c", "m", "t"), "near-open")
+            spent.append(left)
+            here = left.where(F.col("m") <= PAIRED).drop("m", "t")
+            there = here.select("key", F.col("node").alias("other"), F.col("n").alias("on"), F.col("c").alias("oc"))
+            pairs = here.join(there, "key").where("node < other and c <> oc").select("node", "n", "other", "on")
         sized = pairs.where(F.lit(100) * F.least("n", "on") >= F.lit(percent) * F.greatest("n", "on"))
-        pairs = sized.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+        pairs = sized.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         found = _verified(_likely(pairs, sketches, percent, bands * rows), sets, percent)
         if step == pivots:
             found = found.unionByName(_in_blocks(left.where(F.col("m") > PAIRED), sets, percent))
         found = settle(found, "near-links")
         links = found if links is None else links.unionByName(found)
+        spent += [found] if joined is None else [found, joined]
         joined = components(links, "a", "b")
+    discard(*spent)  # what follows reads signatures, nodes and the last components
 
-    named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component_id"))
-    out = plain.join(named, ["fp1", "fp2"], "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    known = classes.join(joined.select(F.col("node").alias("of"), "component"), F.col("node") == F.col("of"), "left")
+    known = known.select("fp1", "fp2", "rep", F.coalesce("component", "node").alias("component"))
+    least = known.groupBy(F.col("component").alias("of")).agg(F.min("rep").alias("least"))
+    known = known.join(least, F.col("component") == F.col("of")).select("fp1", "fp2", "component", "least")
+    return plain.join(known, ["fp1", "fp2"], "left").select("doc_id", "tag", "n", "component", "least")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """(id_col, n_shingles, component_id, kept) for every row.
+
+    Rows are linked whose sets have 100 * intersection >= percent * union; component_id is
+    the least id reachable over links, kept whether it is the row's own. A null or empty
+    text, or one of white space, has no shingles and is linked with nothing; rows of equal
+    sets are in one class. Rows that repeat an id are judged each by its own text. A null id stays null,
+    has its group's component (null if that has no id) and isn't kept. An empty table gives an empty
+    result. Other columns are not read. Shingles are held as 64-bit hashes. how: near_groups' parameters.
+    """
+    found = near_groups(docs, id_col=id_col, text_col=text_col, **how)
+    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(False))
+    return found.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs without near duplicates: of each group the row of the least id (null ids last; of rows that share it, the least hash).
+
+    Rows without a word are duplicates of nothing and stay. Of rows that share id and text one stays, the one of the least hash
+    of all its columns. Whole rows are shuffled once, when they meet the ids that stay.
+    """
+    found = near_groups(docs, id_col=id_col, text_col=text_col, **how)
+    first = found.where("n > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tag")).alias("k"))
+    stay = first.select(F.coalesce("k.doc_id", F.lit(0)).alias("_stay"), F.xxhash64("k.nameless", "k.tag").alias("_tag"))
+    text, cols = docs[text_col].cast("string"), docs.columns
+    key = F.coalesce(docs[id_col].cast("bigint"), F.lit(0))
+    rows = docs.select(F.struct(*cols).alias("_row"), key.alias("_key"), F.xxhash64(docs[id_col].isNull(), F.xxhash64(text)).alias("_hash"), F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("_worded"))
+    met = rows.where("_worded").join(stay, (F.col("_key") == F.col("_stay")) & (F.col("_hash") == F.col("_tag")), "left_semi")
+    met = met.groupBy("_key", "_hash").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return met.select("_row.*").unionByName(rows.where("not _worded").select("_row.*"))

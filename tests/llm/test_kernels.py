@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from lodegraph.llm import ann, langid, near_dup, packing, sharding, token_count, vector_dup
+from lodegraph.llm import ann, common, langid, near_dup, packing, sharding, token_count, vector_dup
 
 TEXTS = ["", " ", "a", "The quick, brown fox's 12 foxes!!", "Ünïcödé straße İstanbul Σας", "漢字 テスト ab", "x" * 300, "🙂🙂 é ﬁ b　c\x1cd", "tab\tand\nline\x0bfeed <|endoftext|>x", "WORD*** re$$$ don't we'll"]
 
@@ -60,10 +60,43 @@ def test_ties_keep_the_longest_last_piece():
         assert token_count.WordCounts(vocabulary)[word] in {len(p) for score, p in paths(0) if score == best}
 
 
-def test_word_ids_equal_the_tokenizer_on_whole_texts():
+@pytest.mark.parametrize("pool, part", [(packing.POOL, packing.PART), (300, 200)])
+def test_word_ids_equal_the_tokenizer_on_whole_texts(monkeypatch, pool, part):
+    monkeypatch.setattr(packing, "POOL", pool)
+    monkeypatch.setattr(packing, "PART", part)
     ids = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
-    for text in [*TEXTS, " ".join(TEXTS)]:
-        assert np.frombuffer(ids.text(text), "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids, text
+    texts = [*TEXTS, " ".join(TEXTS), "a" * 499 + " " + "b" * 501, "x" * 3000 + " y"] * 2
+    for text, got in zip(texts, ids.texts([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_parts_of_a_text_are_cut_between_words():
+    apart = common.bytes_of(0x20, 0x0A)
+    raw = " ".join("w" * (k % 9 + 1) for k in range(300)).encode() + b" " + b"z" * 400 + b"\nend"
+    cut = list(common.parts(raw, apart, 50))
+    assert b"".join(cut) == raw and all(len(c) <= 50 or b"z" in c for c in cut) and all(apart[c[-1]] for c in cut[:-1])
+    assert list(common.parts(b"", apart)) == []
+
+
+def test_open_sequences_are_bounded_and_leave_no_padding():
+    rng, levels, sequences, count = np.random.default_rng(1), packing.Levels(4096, 64), [], 20_000
+    for i in range(count):
+        n = 3000 if i < count // 2 else int(rng.integers(1400, 4000))
+        done = levels.put((i, 0, b"\1\0\0\0" * n, n))
+        assert levels.held <= 64 and levels.held == levels.count.sum()
+        if done:
+            sequences.append([p[:2] + (len(p[2]) // 4, p[3]) for p in done])
+    sequences += [[p[:2] + (len(p[2]) // 4, p[3]) for p in s] for s in levels.close()]
+    lengths = [sum(p[2] for p in s) for s in sequences]
+    assert all(n & (n - 1) == 0 for n in lengths) and sum(n < 4096 for n in lengths) <= 12
+    pieces = sorted(p for s in sequences for p in s)
+    for i, group in itertools.groupby(pieces, key=lambda p: p[0]):
+        at = 0
+        for _, start, n, of in group:
+            assert start == at
+            at += n
+        assert at == of
+    assert len({p[0] for p in pieces}) == count
 
 
 @pytest.mark.parametrize("size, count", [(64, 300), (16, 57), (8, 0), (8, 1)])
@@ -98,19 +131,60 @@ def test_level_is_the_one_of_least_squares():
         assert squares(levels.level_for(n)) == min(map(squares, options))
 
 
-def test_ppm_code_lengths_equal_a_plain_model_and_probabilities_sum_to_one():
-    grams = {}
-    for word in ("the", "then", "this", "a", "at"):
-        for g in langid._grams(word.encode()):
-            grams[g] = grams.get(g, 0) + 1
-    tree = langid.Tree(sorted(grams.items()))
-    for context in (b" ", b" t", b" th", b"zz", b" the"):
-        assert sum(2 ** -tree.bits(context + bytes([b])) for b in range(256)) == pytest.approx(1)
-    scorer = langid.Scorer(["x"], [sorted(grams.items())])
-    for text in ("the then", "zzz this", "then " * 30 + "q" * 70):
-        want = sum(tree.bits(g) for w in text.encode().split() for g in langid._grams(w))
-        assert scorer.text(text)[0] == pytest.approx(want)
-    assert scorer.predict("12 34 !!")[0] == "und" and scorer.predict(None)[0] == "und" and scorer.predict("the")[0] == "x"
+class PlainModel:
+    """The model by its definition: a dictionary of contexts, and a walk down from the longest."""
+
+    def __init__(self, texts):
+        self.nodes = {}
+        for text in texts:
+            s = b"\n" * langid.ORDER + text
+            for i in range(langid.ORDER, len(s)):
+                for k in range(langid.ORDER + 1):
+                    node = self.nodes.setdefault(s[i - k : i], {})
+                    node[s[i]] = node.get(s[i], 0) + 1
+
+    def bits(self, before, byte):
+        out, excluded = 0.0, set()
+        for k in range(langid.ORDER, -1, -1):
+            left = {b: n for b, n in self.nodes.get(before[len(before) - k :], {}).items() if b not in excluded}
+            if left:
+                total = sum(left.values()) + len(left)
+                if byte in left:
+                    return out - np.log2(left[byte] / total)
+                out -= np.log2(len(left) / total)
+                excluded |= set(left)
+        return out + np.log2(256 - len(excluded))
+
+    def text(self, text):
+        s = b"\n" * langid.ORDER + text
+        return sum(self.bits(s[i - langid.ORDER : i], s[i]) for i in range(langid.ORDER, len(s)))
+
+
+def scorer_of(texts):
+    strings = np.concatenate([langid.grams(np.frombuffer(b"\n" * langid.ORDER + t, np.uint8)) for t in texts])
+    return langid.Scorer(["x"], *([a] for a in np.unique(strings, return_counts=True)))
+
+
+@pytest.mark.parametrize("part", [langid.PART, 7])
+def test_ppm_code_lengths_equal_a_plain_model(monkeypatch, part):
+    monkeypatch.setattr(langid, "PART", part)
+    rng = np.random.default_rng(part)
+    for letters in (b"ab \n", b"abcdefgh\t ", bytes(range(256))):
+        learnt, asked = ([bytes(rng.choice(list(letters), n)) for n in rng.integers(1, 200, 6)] for _ in range(2))
+        asked += [b"", b"xyz xyz", b"a b", b"a \n\n\t  b   ", b"  a b"]
+        plain, scorer = PlainModel(learnt), scorer_of(learnt)
+        for _ in range(2):  # the second time from the table of strings met before
+            assert scorer.lengths(asked)[:, 0] == pytest.approx([plain.text(t) for t in asked])
+
+
+def test_probabilities_sum_to_one_and_white_space_costs():
+    scorer = scorer_of([b"the then this", b"a at the"])
+    for before in (b"\n\n\n\n", b" the", b"zzzz", b"is a"):
+        strings = np.array([int.from_bytes(before + bytes([b]), "big") for b in range(256)], np.uint64)
+        assert (2.0 ** -scorer.trees[0].bits(strings)).sum() == pytest.approx(1)
+    a, b, c = scorer.lengths([b"a b", b"a \n\n\t  b   ", b"  a b"])[:, 0]
+    assert b > a and c > a
+    assert [p[0] for p in scorer.predict(["12 34 !!", None, "", "the"])] == ["und", "und", "und", "x"]
 
 
 def words(text):

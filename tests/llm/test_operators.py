@@ -76,7 +76,9 @@ def test_language_id(spark, docs, none):
     model = langid.fit(train)
     got = {(r.doc_id, r.lang_pred) for r in langid.identify(docs.drop("score"), model, keep=("doc_id", "n")).collect()}
     assert {(5, "und"), (6, "und"), (7, "und"), (10, "und"), (12, "de")} <= got
-    assert langid.identify(none, model).count() == 0 and langid.fit(train.limit(0)) == {"languages": [], "grams": []}
+    assert langid.identify(none, model).count() == 0 and langid.fit(train.limit(0)) == {"languages": [], "strings": [], "counts": []}
+    many = train.unionByName(train.selectExpr("doc_id", "text", "concat('x', doc_id) as lang"))
+    assert langid.fit(many, most_languages=2)["languages"] == ["de", "en"]
     assert {r.lang_pred for r in langid.identify(docs, langid.fit(train.limit(0))).collect()} == {"und"}
     with pytest.raises(ValueError):
         langid.identify(docs, model, keep=("doc_id", "score"))
@@ -92,6 +94,27 @@ def test_near_duplicates(docs, none):
     assert near_dup.near_duplicates(none).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_judged_by_their_own_text(spark):
+    other = BASE.replace("o", "0")
+    rows = [(1, BASE), (1, other), (1, other), (2, other + " more"), (3, BASE + " more"), (None, BASE), (None, "some words of their own"), (None, "some words of their own"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("node", F.lit(0))
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1, r.kept) for r in near_dup.near_duplicates(df, shingle=3, percent=85).collect())
+    assert got == [(-1, 0, -1, False), (-1, 3, -1, False), (-1, 3, -1, False), (-1, 18, 1, False), (1, 18, 1, True), (1, 18, 1, True), (1, 18, 1, True), (2, 19, 1, False), (3, 19, 1, False)]
+    kept = near_dup.one_of_each(df, shingle=3, percent=85)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == sorted([(1, BASE), (1, other), (-1, "some words of their own"), (-1, "")])
+
+
+def test_large_sets_are_compared_in_smaller_blocks(spark, monkeypatch):
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(f"x{i}_{k}" if k == i * 7 else w for k, w in enumerate(base)) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    monkeypatch.setattr(near_dup, "BLOCK_ITEMS", 900)
+    monkeypatch.setattr(near_dup, "PAIRED", 2)
+    rows = near_dup.near_duplicates(df, shingle=3, percent=85, pivots=0).collect()
+    assert {r.component_id for r in rows} == {0}
+
+
 def test_near_duplicates_join_large_groups_exactly(spark):
     """Copies of one text with random edits: the components are those of brute force, whatever the bucket sizes."""
     rng = np.random.default_rng(4)
@@ -142,6 +165,12 @@ def test_mixing(docs, none):
     assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, rows)) and mixing.mix(none).count() == 0
 
 
+def test_mixing_with_cuts_of_many_sources_joined(docs, monkeypatch):
+    want = sorted(map(str, mixing.mix(docs, keep=("doc_id", "text")).collect()))
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
+    assert sorted(map(str, mixing.mix(docs, keep=("doc_id", "text")).collect())) == want
+
+
 def test_mixed_documents_hold_the_words_taken(spark):
     df = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(5 + i)) + "\n", f"s{i % 3}") for i in range(30)], "doc_id bigint, text string, source string")
     mixed = mixing.mix(df, keep=("doc_id", "text", "source"))
@@ -280,6 +309,11 @@ def test_pipeline_stages(spark):
     odd = spark.createDataFrame([(10_001, None, "en", "src1", 0), (10_002, "", "en", None, 0), (10_003, "12 34", None, "src2", 5)], docs.schema)
     kept = corpus_pipeline.language_id(spark, docs.unionByName(odd), sf)
     assert kept.columns == columns and kept.count() == docs.count()
+    short = ["The quick brown fox jumps over the lazy dog while Mary quickly packs five dozen jugs of liquor", "Fjord!", "дом стоит на горе и в нём живёт кот, а за домом лес"]
+    more = spark.createDataFrame([(20_000 + i, t, None, "s", len(t)) for i, t in enumerate(short)], docs.schema)
+    assert [r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(more), sf).where("doc_id >= 20000").orderBy("doc_id").collect()] == [20_000, 20_001]
+    unlabelled = docs.unionByName(odd).withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_id(spark, unlabelled, sf).count() == docs.where("text rlike '\\\\p{L}'").count()
     once = corpus_pipeline.near_dedup(spark, kept, sf)
     sets = {r.doc_id: near_dup.shingles(r.text, 5) for r in docs.collect()}
     left = [r.doc_id for r in once.collect()]
@@ -291,3 +325,44 @@ def test_pipeline_stages(spark):
     mixed = corpus_pipeline.mixing(spark, once, sf)
     assert mixed.columns == columns and abs(sum(len(r.text.split()) for r in mixed.collect()) - sum(len(r.text.split()) for r in once.collect())) < 100
     assert corpus_pipeline.packing(spark, mixed, sf).count() >= mixed.count()
+
+
+@pytest.mark.parametrize("rows", [[], [(None, BASE, "en", "a", 1), (None, BASE, "en", "b", 1), (7, BASE + " end", None, None, 2), (7, "quite another text of few words", "en", "a", 3), (8, None, "en", None, 0), (9, "", None, "a", 0)]])
+def test_pipeline_runs_on_odd_documents(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.doc_tokens) for r in found} <= {(7, r.doc_tokens) for r in found} and (len(found) > 0) == bool(rows)
+
+
+def test_pipeline_equals_its_stages_by_brute_force(spark):
+    """All of run() on a small table: what is kept, mixed and packed, from plain sets, the mixing SQL's rules and the tokenizer."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    sets = {i: near_dup.shingles(r.text, 5) for i, r in docs.items() if any(map(str.isalpha, r.text or ""))}
+    root = {i: i for i in sets}
+    linked = True
+    while linked:
+        linked = False
+        for i in sets:
+            for j in sets:
+                n = len(np.intersect1d(sets[i], sets[j])) if root[i] < root[j] else 0
+                if n and 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+                    root = {k: root[i] if r == root[j] else r for k, r in root.items()}
+                    linked = True
+    once = [i for i in sets if root[i] == i]
+    rows = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id for r in rows} <= set(once)
+    tokenizer = Tokenizer.from_file(BPE)
+    ids = {i: len(tokenizer.encode(docs[i].text, add_special_tokens=False).ids) + 1 for i in once}
+    whole = [r for r in rows if r.start == 0]
+    assert sum(r.doc_tokens != ids[r.doc_id] for r in whole) <= len({docs[i].source for i in once})  # cut where a source's budget ends
+    assert max(collections.Counter(r.doc_id for r in whole).values()) <= 3
+    for _, group in pieces_by(rows, "sequence_id"):
+        length = sum(r.length for r in group)
+        assert length == 4096 or length & (length - 1) == 0
