@@ -11,28 +11,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.llm.common import settle
-from lodegraph.llm.langid import UNKNOWN, fit, identify
+from lodegraph.llm.langid import UNKNOWN, fit, identify, strangeness
 from lodegraph.llm.mixing import label_weights, mix, repeated
-from lodegraph.llm.near_dup import near_duplicates
+from lodegraph.llm.near_dup import one_of_each
 from lodegraph.llm.packing import pack
 
-#: Bits a byte at which no learnt language explains a text better than plain bytes do.
-MOST_BITS = 8.0
+#: Bits by which a text must be beyond the bound: short texts have too little evidence against them to go.
+EVIDENCE = 64.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learnt languages; without a letter, or coded no better than bytes, they go."""
-    found = identify(docs, fit(docs), keep=tuple(docs.columns), out=("_lang_pred", "_lang_score", "_lang_bits"))
-    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_bits") < MOST_BITS)).select(*docs.columns)
+    """Documents in one of the learnt languages: those without a letter go, and those that are mostly of bytes no language has.
+
+    The bound is half the bits a byte that the model itself gives to bytes it never saw, and EVIDENCE more in all, so short or
+    unusual texts in letters that a language has stay. Where no row has a language, all with a letter stay.
+    """
+    model = fit(docs)
+    found = identify(docs, model, keep=tuple(docs.columns), out=("_lang_pred", "_lang_score", "_lang_bits"))
+    if not model["languages"]:
+        return docs.where(F.coalesce(docs["text"].cast("string").rlike(r"\p{L}"), F.lit(False)))
+    bound = strangeness(model) / 2 + EVIDENCE / F.greatest(F.octet_length(F.col("text").cast("string")), F.lit(1))
+    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_bits") < bound)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8. Rows that repeat an id are one; rows without an id are known by their text."""
-    # Ids made of texts are above all real ones, which so stay where both are in a group.
-    known = F.coalesce(F.col("doc_id"), F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 61))
-    named = docs.withColumn("_id", known)
-    kept = near_duplicates(named, id_col="_id").where("kept").select(F.col("_id").alias("_kept")).distinct()
-    return named.join(kept, F.col("_id") == F.col("_kept"), "left_semi").dropDuplicates(["_id"]).select(*docs.columns)
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
+    return one_of_each(docs, shingle=5, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
