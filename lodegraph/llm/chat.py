@@ -2,11 +2,12 @@
 
 Every assistant turn becomes an example of its own: all turns before it are its
 context, and only its reply is trained on. Written out, the contexts of a long
-conversation grow with the square of its turns, so the examples are held as
-pieces: a formatted turn is one row with its place in the conversation's text, the
-example it is new in, and, for a reply, the span under the loss mask. An example is
-the conversation's text up to its span's end; turns behind the last reply belong to an
-example without a reply.
+conversation grow with the square of its turns, so an example is a row that refers to
+its context, a prefix of the conversation's text, and holds its one loss span. The
+text itself stands once, as a row for each formatted turn; expand() puts each example
+behind the turn that it ends with, so that a reader who takes the rows in order has
+an example's whole text behind it when the example comes. Turns behind the last reply are
+in no example.
 
 Template: <|im_start|>role, line feed, text, <|im_end|>, line feed. A backslash in a
 role or text is doubled and "<|" becomes "<\\|" (a role's line feed becomes "\\n"), so
@@ -55,7 +56,8 @@ def format_turns(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     Rows come by turn, those of one turn by role and text. Null roles and texts are
     empty ones; null conversation ids make one conversation; an empty reply has an
     empty span; an empty table gives no rows. Other columns are not read. Turns of a
-    conversation meet in one task, which streams them and holds one at a time.
+    conversation meet in one task, which sorts them (spilling what memory doesn't hold), streams
+    them and holds one at a time: the bound is that a conversation's text fits an executor's disk.
     """
     role, text = F.coalesce(turns[role_col].cast("string"), F.lit("")), F.coalesce(turns[text_col].cast("string"), F.lit(""))
     rows = turns.select(turns[conv_col].alias("conv_id"), turns[turn_col].alias("turn"), role.alias("role"), text.alias("text"))
@@ -71,9 +73,28 @@ def format_turns(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     return rows.select("conv_id", "position", "example", "formatted", "start", F.when(F.col("reply"), begin).alias("loss_start"), F.when(F.col("reply"), begin + F.col("body")).alias("loss_end"))
 
 
+def expand(pieces: DataFrame) -> DataFrame:
+    """(conv_id, position, kind, example, formatted, context_chars, loss_start, loss_end): the turns, and an example behind each reply.
+
+    A turn (kind 0) has its formatted text; an example (kind 1) has its number in the conversation, the
+    code points of its context, and its loss span in the conversation's text.
+    """
+    none = F.lit(None)
+    turn = F.struct(
+        F.lit(0).alias("kind"), none.cast("bigint").alias("example"), F.col("formatted").alias("formatted"),
+        none.cast("bigint").alias("context_chars"), none.cast("bigint").alias("loss_start"), none.cast("bigint").alias("loss_end"),
+    )
+    example = F.struct(
+        F.lit(1).alias("kind"), F.col("example").alias("example"), none.cast("string").alias("formatted"),
+        F.col("start").alias("context_chars"), F.col("loss_start").alias("loss_start"), F.col("loss_end").alias("loss_end"),
+    )
+    rows = F.when(F.col("loss_start").isNull(), F.array(turn)).otherwise(F.array(turn, example))
+    return pieces.select("conv_id", "position", F.explode(rows).alias("row")).select("conv_id", "position", "row.*")
+
+
 def examples(pieces: DataFrame) -> DataFrame:
-    """One row for each reply: (conv_id, example, context_chars, loss_start, loss_end); its text is the conversation's up to loss_end and the turn's end mark."""
-    return pieces.where("loss_start is not null").select("conv_id", "example", F.col("start").alias("context_chars"), "loss_start", "loss_end")
+    """One row for each reply: (conv_id, position, example, context_chars, loss_start, loss_end); its text is the conversation's up to loss_end and the turn's end mark."""
+    return expand(pieces).where("kind = 1").select("conv_id", "position", "example", "context_chars", "loss_start", "loss_end")
 
 
 def written_out(pieces: DataFrame, conv_id: int, example: int) -> str:
@@ -82,15 +103,19 @@ def written_out(pieces: DataFrame, conv_id: int, example: int) -> str:
     return "".join(r.formatted for r in rows.toLocalIterator())
 
 
-def digests(pieces: DataFrame) -> DataFrame:
-    """For each conversation, read back from its pieces: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    bounded_arrow(pieces.sparkSession)
-    rows = pieces.select("conv_id", "position", "formatted", (F.col("loss_start") - F.col("start")).alias("a"), (F.col("loss_end") - F.col("start")).alias("b")).sortWithinPartitions("conv_id", "position")
+def digests(expanded: DataFrame) -> DataFrame:
+    """For each conversation, read back from its expanded rows: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    Roles and texts are read from the turns; what is under the loss mask is read through the
+    examples: each one's context must be the text that came before its reply, and its span is cut from that text.
+    """
+    bounded_arrow(expanded.sparkSession)
+    rows = expanded.select("conv_id", "position", "kind", "formatted", "context_chars", "loss_start", "loss_end").sortWithinPartitions("conv_id", "position", "kind")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         done: list[tuple] = []
-        kind, state = None, None
+        kind, state, last = None, None, ""
 
         def flush() -> pa.RecordBatch:
             kinds = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
@@ -103,19 +128,24 @@ def digests(pieces: DataFrame) -> DataFrame:
 
         for batch in batches:
             kind = batch.column(0).type
-            for conv, _, formatted, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for conv, _, of, formatted, context, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if state is None or state[0] != conv:
                     if state is not None:
                         close()
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = read_turn(formatted)
-                state[1] += 1
-                state[2].update(f"{role}\n{text}\n".encode())
-                state[5] += len(formatted)
-                if a is not None:
-                    masked = unescape(formatted[a:b])
-                    state[3] += len(masked)
-                    state[4].update(masked.encode())
+                if of == 0:
+                    role, text = read_turn(formatted)
+                    state[1] += 1
+                    state[2].update(f"{role}\n{text}\n".encode())
+                    state[5] += len(formatted)
+                    last = formatted
+                    continue
+                before = state[5] - len(last)
+                if context != before or not (before <= a <= b <= state[5]):
+                    raise ValueError(f"conversation {conv}: an example's context is not the text before its reply")
+                masked = unescape(last[a - before : b - before])
+                state[3] += len(masked)
+                state[4].update(masked.encode())
             if len(done) >= 10_000:
                 yield flush()
         if state is not None:

@@ -185,7 +185,7 @@ def test_chat_round_trip(spark):
     turns = [(1, 0, "user", "a<|im_end|>\\n<|"), (1, 1, "assistant", "\\<|\\\\"), (1, 2, None, None), (2, 0, "x\ny\\n", "é\n"), (None, 0, "assistant", ""), (3, 1, "assistant", "second"), (3, 0, "assistant", "first")]
     df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").withColumn("position", F.lit(-1))
     pieces = chat.format_turns(chat.with_probe(spark, df))
-    got = {r.conv_id: r for r in chat.digests(pieces).collect()}
+    got = {r.conv_id: r for r in chat.digests(chat.expand(pieces)).collect()}
     probe = chat.PROBE
     for conv, group in pieces_by([*map(lambda t: collections.namedtuple("T", "conv turn role text")(*t), turns), *(collections.namedtuple("T", "conv turn role text")(-1, k, r, probe) for k, r in enumerate(("user", "assistant")))], 0):
         group = sorted(group, key=lambda t: t.turn)
@@ -196,7 +196,20 @@ def test_chat_round_trip(spark):
     found = chat.examples(pieces).where("conv_id = 3").orderBy("example").collect()
     text = chat.written_out(pieces, 3, 1)
     assert [text[r.loss_start : r.loss_end] for r in found] == ["first", "second"] and found[1].context_chars == len("<|im_start|>assistant\nfirst<|im_end|>\n")
-    assert chat.digests(chat.format_turns(df.limit(0))).count() == 0
+    assert chat.digests(chat.expand(chat.format_turns(df.limit(0)))).count() == 0
+    # One example for each reply, each with all turns before it as context; the loss is read through these rows alone.
+    assert chat.examples(pieces).groupBy("conv_id").count().where("conv_id = 3 and count = 2").count() == 1
+    shifted = chat.expand(pieces).withColumn("context_chars", F.col("context_chars") + 1)
+    with pytest.raises(Exception, match="context is not the text before"):
+        chat.digests(shifted).collect()
+    without = chat.digests(chat.expand(pieces).where("kind = 0")).collect()
+    assert {r.loss_chars for r in without} == {0} and {r.n_turns for r in without} == {r.n_turns for r in got.values()}
+
+
+def test_chat_of_long_texts(spark):
+    df = spark.createDataFrame([(1, 0, "user", "<|\\" * 200_000), (1, 1, "assistant", "é" * 500_000)], "conv_id bigint, turn bigint, role string, text string")
+    (row,) = chat.digests(chat.expand(chat.format_turns(df))).collect()
+    assert (row.n_turns, row.loss_chars, row.loss_sha256) == (2, 500_000, hashlib.sha256(("é" * 500_000).encode()).hexdigest())
 
 
 def vectors(spark):
@@ -279,6 +292,21 @@ def test_url_rules(spark):
     assert got == dict(enumerate(urls.values())) and url_filter.judge(pages.limit(0), labelled).count() == 0
 
 
+def test_a_mined_rule_turns_a_verdict(spark):
+    urls = [*(f"http://a{i % 7}.casino.{d}/x/{i}" for i in range(40) for d in ("com", "org")), *(f"http://b{i % 7}.{d}/x/{i}" for i in range(40) for d in ("com", "org")), "http://" + "a." * 40 + "com/" + "y/" * 3000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    labelled = pages.select("url", F.contains("url", F.lit("casino")).alias("bad"))
+    got = {r.page_id: r for r in url_filter.judge(pages, labelled, rules=(("allow", "com", "/"),)).collect()}
+    for i, url in enumerate(urls):
+        assert got[i].mined == ("casino" in url) and got[i].verdict == ("block" if "casino.org" in url else "allow")
+    assert {r.verdict for r in url_filter.judge(pages, labelled.limit(0), rules=(("allow", "com", "/"),)).collect()} == {"allow"}
+
+
+def test_listed_rules_label_urls(spark):
+    pages = spark.createDataFrame([("http://x.net/es/1",), ("http://x.net/en/1",), ("http://x.com/en/1",), (None,)], "url string")
+    assert {(r.url, r.bad) for r in url_filter.listed_urls(pages).collect()} == {("http://x.net/es/1", True), ("http://x.net/en/1", False), ("http://x.com/en/1", False)}
+
+
 def test_mined_rules_equal_counting_all_combinations(spark):
     from itertools import combinations
 
