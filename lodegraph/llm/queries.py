@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def _vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -59,9 +60,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, formatted and read back."""
-    from lodegraph.llm.chat import digests, format_turns, with_probe
+    from lodegraph.llm.chat import digests, expand, format_turns, with_probe
 
-    return digests(format_turns(with_probe(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+    return digests(expand(format_turns(with_probe(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet")))))
 
 
 def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,10 +82,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on every page's URL."""
-    from lodegraph.llm.url_filter import judge, labelled_urls
+    from lodegraph.llm.url_filter import judge, listed_urls
 
-    pages, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("pages", "labels"))
-    return judge(pages, labelled_urls(pages, labels))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return judge(pages, listed_urls(pages))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

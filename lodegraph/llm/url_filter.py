@@ -57,7 +57,7 @@ def tokens(url: Column) -> Column:
     return F.array_sort(F.array_distinct(parts))
 
 
-def mine(labelled: DataFrame, *, min_support: float = 0.002, min_count: int = 25, min_confidence: float = 0.3, min_lift: float = 1.5) -> DataFrame:
+def mine(labelled: DataFrame, *, min_support: float = 0.002, min_count: int = 25, min_confidence: float = 0.9, min_lift: float = 1.5) -> DataFrame:
     """(antecedent, support, confidence, lift) of rules that end in BAD. labelled: (tokens, bad boolean), one row for each labelled URL.
 
     min_support is a share of the labelled rows, so the number of frequent token sets
@@ -83,7 +83,9 @@ def matched(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, labelled: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, **mining: float) -> DataFrame:
-    """(id_col, host, path, rule, verdict) for every page; the listed rule's verdict, else block where a mined rule matches, else allow.
+    """(id_col, host, path, rule, mined, verdict) for every page; the listed rule's verdict, else block where a mined rule matches, else allow.
+
+    mined: whether a mined rule matches the URL, listed or not.
 
     labelled: (url, bad boolean), rows without either go. A null URL, or one without "://",
     has an empty host and path and is judged like any other. Repeated rows are judged each;
@@ -97,15 +99,16 @@ def judge(pages: DataFrame, labelled: DataFrame, *, id_col: str = "page_id", url
     listed = rule(F.col("host"), F.col("path"), rules)
     rows = rows.join(blocked, "tokens", "left").withColumn("listed", listed)
     verdict = F.coalesce(F.col("listed.verdict"), F.when(F.col("hit"), "block").otherwise("allow"))
-    return rows.select(F.col("id").alias(id_col), "host", "path", F.col("listed.rule").alias("rule"), verdict.alias("verdict"))
+    mined = F.coalesce("hit", F.lit(False)).alias("mined")
+    return rows.select(F.col("id").alias(id_col), "host", "path", F.col("listed.rule").alias("rule"), mined, verdict.alias("verdict"))
 
 
-def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(url, bad): pages whose URL's last path segment starts with the number of a labelled document; bad if any label calls it toxic or of low quality."""
-    number = F.regexp_extract(path(F.col("url")), r"/([0-9]{1,18})[^/]*/?$", 1)
-    bad = labels.where("doc_id is not null").groupBy("doc_id").agg((F.max(F.greatest(F.coalesce("toxic", F.lit(0)), 1 - F.coalesce("quality", F.lit(1)))) == 1).alias("bad"))
-    urls = pages.where("url is not null").select("url", F.when(number != "", number).otherwise(None).cast("bigint").alias("n"))
-    return urls.join(bad, F.col("n") == F.col("doc_id")).select("url", "bad")
+def listed_urls(pages: DataFrame, url_col: str = "url", rules: tuple = RULES) -> DataFrame:
+    """(url, bad) of every URL: bad where the listed rules block it. What no rule names counts as good, so
+    only combinations that hardly any good URL has become rules, and these reach the URLs that no rule names."""
+    url = pages[url_col].cast("string")
+    listed = rule(host(url), path(url), rules)
+    return pages.where(url.isNotNull()).select(url.alias("url"), F.coalesce(listed["verdict"] == "block", F.lit(False)).alias("bad"))
 
 
 SQL = r"""
@@ -118,19 +121,19 @@ tokened AS (SELECT *, list_sort(list_distinct(
     || list_transform(list_filter(string_split(path, '/'), lambda x: x <> '' AND NOT regexp_matches(x, '[0-9]')), lambda x: 'p=' || x)
     || list_transform(list_filter(string_split(regexp_extract(b, '\?([^#]*)', 1), '&'), lambda x: x <> ''), lambda x: 'q=' || string_split(x, '=')[1])
     || list_transform(list_filter([regexp_extract(b, '(?s)#(.*)', 1)], lambda x: x <> '' AND NOT regexp_matches(x, '[0-9]')), lambda x: 'f=' || x))) AS tokens FROM listed),
-judged AS (SELECT doc_id, max(greatest(coalesce(toxic, 0), 1 - coalesce(quality, 1))) = 1 AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
-learnt AS (SELECT t.tokens, j.bad FROM tokened t JOIN judged j ON j.doc_id = TRY_CAST(nullif(regexp_extract(t.path, '/([0-9]{1,18})[^/]*/?$', 1), '') AS BIGINT) WHERE t.url IS NOT NULL),
+named_by AS (SELECT *, CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/' WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM tokened),
+learnt AS (SELECT tokens, coalesce(rule IN ('example.com/en/', 'net/es/', 'net/fr/'), false) AS bad FROM named_by WHERE url IS NOT NULL),
 size AS (SELECT count(*) AS n, count(*) FILTER (bad) AS bad FROM learnt),
 subsets AS (SELECT list_transform(list_filter(generate_series(1, len(tokens)), lambda i: (mask >> (i - 1)::INTEGER) & 1 = 1), lambda i: tokens[i]) AS items, bad FROM learnt, unnest(generate_series(1, (1 << len(tokens)::INTEGER) - 1)) m(mask)),
 rules AS (SELECT items FROM subsets, size GROUP BY items, size.n, size.bad
-  HAVING size.n >= 25 AND count(*) FILTER (subsets.bad) >= ceil(greatest(0.002::DOUBLE, 25::DOUBLE / size.n) * size.n) AND (count(*) FILTER (subsets.bad))::DOUBLE / count(*) >= 0.3
+  HAVING size.n >= 25 AND count(*) FILTER (subsets.bad) >= ceil(greatest(0.002::DOUBLE, 25::DOUBLE / size.n) * size.n) AND (count(*) FILTER (subsets.bad))::DOUBLE / count(*) >= 0.9
     AND (count(*) FILTER (subsets.bad))::DOUBLE / count(*) / (size.bad::DOUBLE / size.n) >= 1.5),
-hits AS (SELECT DISTINCT tokens FROM tokened WHERE EXISTS (SELECT 1 FROM rules WHERE list_has_all(tokens, items)))
-SELECT page_id, host, path,
-  CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
-    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
-    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/' WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
-    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule,
-  CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN tokens IN (SELECT tokens FROM hits) THEN 'block' ELSE 'allow' END AS verdict
-FROM tokened
+hits AS (SELECT DISTINCT tokens, true AS hit FROM tokened WHERE EXISTS (SELECT 1 FROM rules WHERE list_has_all(tokens, items))),
+judged AS (SELECT n.*, coalesce(h.hit, false) AS mined FROM named_by n LEFT JOIN hits h ON h.tokens = n.tokens)
+SELECT page_id, host, path, rule, mined,
+  CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN mined THEN 'block' ELSE 'allow' END AS verdict
+FROM judged
 """
