@@ -2,13 +2,16 @@
 
 Groups (documents of equal text) stand in the order of a digest and are never cut.
 The smallest shard capacity that a greedy walk along the groups can meet is found by
-binary search, and the shards are cut as that walk goes.
+binary search. Under that capacity each cut has a latest place, where such walks from the first
+group come to, and an earliest one, where a walk from the last group comes to; between the two
+the shards are cut as near to equal sizes as groups allow, so the last one isn't left short.
 
 The walk runs on the driver, over a bounded table: digests fall into ranges, and only
 ranges in which a cut may fall are split again, until those are single groups. The
 positions a cut can take are bounded by the capacity's bounds, so the walk sees
 single groups wherever it matters, at any number of groups. A group larger than a
-fair share gets a shard of its own beforehand; there are fewer of those than shards.
+fair share gets a shard of its own beforehand, out of the order; there are fewer of those than shards,
+and no partition has less in its largest shard than such a group.
 """
 
 from __future__ import annotations
@@ -51,6 +54,28 @@ def walk(bytes_: np.ndarray, capacity: int) -> list[int]:
     return starts
 
 
+def even(bytes_: np.ndarray, capacity: int, shards: int) -> list[int]:
+    """First range of each shard: none above the capacity, which must be feasible, and cuts as near to equal sizes as that allows."""
+    n, ends = len(bytes_), np.cumsum(bytes_)
+    begins = ends - bytes_
+    earliest, at = [0] * (shards + 1), n
+    for j in range(shards - 1, 0, -1):
+        at = int(np.searchsorted(begins, ends[at - 1] - capacity)) if at else 0
+        earliest[j] = at
+    starts = [0]
+    for j in range(1, shards):
+        goal = int(ends[-1]) * j / shards
+        near = int(np.searchsorted(ends, goal))
+        if near < n and ends[near] - goal <= goal - begins[near]:
+            near += 1
+        latest = int(np.searchsorted(ends, begins[starts[-1]] + capacity, side="right"))
+        cut = min(max(near, earliest[j], starts[-1] + 1), latest)
+        if cut >= n:
+            break
+        starts.append(cut)
+    return starts
+
+
 def least_capacity(bytes_: np.ndarray, shards: int) -> int:
     """The smallest capacity with which the greedy walk needs no more than so many shards."""
     low, high = max(-(-int(bytes_.sum()) // shards), int(bytes_.max())), int(bytes_.sum())
@@ -112,7 +137,7 @@ def cuts(groups: DataFrame, shards: int) -> Cuts:
         table = table[:, np.argsort(table[0], kind="stable")]
         shift -= bits
     capacity = least_capacity(table[1], left)
-    return Cuts([int(table[0][i]) for i in walk(table[1], capacity)], alone, capacity)
+    return Cuts([int(table[0][i]) for i in even(table[1], capacity, left)], alone, capacity)
 
 
 def shard(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
