@@ -343,3 +343,20 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     met = rows.where("_worded").join(stay, (F.col("_key") == F.col("_stay")) & (F.col("_hash") == F.col("_tag")), "left_semi")
     met = met.groupBy("_key", "_hash").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
     return met.select("_row.*").unionByName(rows.where("not _worded").select("_row.*"))
+
+
+#: Exact sets and all pairs that share a shingle, for tables that DuckDB can hold that way.
+SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingled AS MATERIALIZED (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM worded),
+spread AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS item FROM shingled),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM spread a JOIN spread b ON a.item = b.item AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS node, doc_id AS got FROM documents UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.got),
+least AS (SELECT node, min(got) AS component_id FROM reach GROUP BY node)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, l.component_id, s.doc_id = l.component_id AS kept FROM shingled s JOIN least l ON l.node = s.doc_id
+"""
