@@ -239,6 +239,18 @@ def test_least_capacity_is_the_best_contiguous_split(seed):
     best = min(max(sum(sizes[a:b]) for a, b in itertools.pairwise((0, *cut, 9))) for cut in itertools.combinations(range(1, 9), k - 1))
     capacity = sharding.least_capacity(sizes, k)
     assert capacity == best and len(sharding.walk(sizes, capacity)) <= k
+    cut = sharding.even(sizes, capacity, k)
+    assert len(cut) <= k and max(sum(sizes[a:b]) for a, b in itertools.pairwise([*cut, 9])) == best
+
+
+def test_even_cuts_leave_no_shard_short():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        sizes, k = rng.integers(1, 60, rng.integers(300, 600)), int(rng.integers(2, 30))
+        capacity = sharding.least_capacity(sizes, k)
+        cut = sharding.even(sizes, capacity, k)
+        got = [sizes[a:b].sum() for a, b in itertools.pairwise([*cut, len(sizes)])]
+        assert len(got) == k and max(got) <= capacity and min(got) >= sizes.sum() / k - 2 * sizes.max()
 
 
 def test_scan_never_loses_what_it_should_keep_and_abandons_some():

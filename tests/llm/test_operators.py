@@ -222,15 +222,14 @@ def vectors(spark):
     return x, rows, spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<float>, label int").withColumn("id", F.lit(-3)).withColumn("v", F.lit(0))
 
 
-@pytest.mark.parametrize("cell, block", [(vector_dup.CELL, vector_dup.BLOCK), (16, 32)])
-def test_vector_duplicates(spark, cell, block):
+@pytest.mark.parametrize("cell, block, copy", [(vector_dup.CELL, vector_dup.BLOCK, vector_dup.COPY), (4, 32, 0)])
+def test_vector_duplicates(spark, monkeypatch, cell, block, copy):
     _, _, df = vectors(spark)
-    old = vector_dup.CELL, vector_dup.BLOCK
-    vector_dup.CELL, vector_dup.BLOCK = cell, block
-    try:
-        got = {r.vec_id: r for r in vector_dup.vector_duplicates(df).collect()}
-    finally:
-        vector_dup.CELL, vector_dup.BLOCK = old
+    for name, value in (("CELL", cell), ("BLOCK", block), ("COPY", copy)):
+        monkeypatch.setattr(vector_dup, name, value)
+    x = vector_dup.unit(np.random.default_rng(8).normal(size=(300, 8)))
+    assert len(vector_dup.pivots_for(x, 200, 0.2)) > (8 if copy == 0 else 0)
+    got = {r.vec_id: r for r in vector_dup.vector_duplicates(df).collect()}
     fine = {r.vec_id: (np.array(r.embedding, float), r.label) for r in df.collect() if r.vec_id < 1000 or r.vec_id == 1020}
     ids = sorted(fine)
     u = np.stack([fine[i][0] / np.linalg.norm(fine[i][0]) for i in ids])
@@ -243,6 +242,42 @@ def test_vector_duplicates(spark, cell, block):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(1000, 1007)) and vector_dup.vector_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_null_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (2, [1.0, 0.001], 1), (2, [0.0, 1.0], 1), (2, [0.0, 1.0], 0), (3, [0.0, 2.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = sorted((r.vec_id or -1, r.n_links, r.component_id or -1, r.kept) for r in vector_dup.vector_duplicates(df).collect())
+    assert got == [(-1, 0, -1, False), (1, 0, 1, True), (2, 1, 2, True), (2, 1, 2, True), (2, 1, 2, True), (3, 1, 2, False)]
+    found = ann.nearest(df, "id = 1", 2).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] == [(2, 0.0), (3, 0.0)]
+
+
+def test_nearest_of_many_equal_vectors_takes_the_smallest_ids(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CANDIDATES", 16)
+    monkeypatch.setattr(ann, "BLOCK", 40)
+    rng = np.random.default_rng(3)
+    same = [float(v) for v in rng.normal(size=32)]
+    rows = [(i, same if i % 3 else [float(v) for v in rng.normal(size=32)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = ann.nearest(df, "id % 50 = 1", 20).orderBy("query_id", "rank").collect()
+    for q, group in pieces_by(found, "query_id"):
+        if q % 3:
+            assert [r.vec_id for r in group] == [i for i in range(60) if i % 3 and i != q][:20]
+
+
+def test_recall_and_scores_on_clustered_vectors(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(40, 64))
+    x = centres[rng.integers(0, 40, 4000)] + 0.4 * rng.normal(size=(4000, 64))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(4000)], "vec_id bigint, embedding array<double>")
+    found, hits = ann.nearest(df, "id % 20 = 0", 20).collect(), 0
+    for q, group in pieces_by(found, "query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len({r.vec_id for r in group} & set(np.lexsort((np.arange(4000), -s))[:20].tolist()))
+        assert len(group) == 20
+    assert hits >= 0.9 * 20 * 200
+
+
 def test_nearest(spark):
     _, _, df = vectors(spark)
     rows = ann.nearest(df, "id % 20 = 0", 5).collect()
@@ -281,6 +316,17 @@ def test_cuts_are_those_of_all_groups(spark):
     assert found.capacity == sharding.least_capacity(sizes[: len(keys)], 7) and not found.alone and len(found.starts) <= 7
 
 
+def test_groups_above_a_fair_share_stand_alone(spark):
+    rows = [(i, "x" * 5000 if i < 40 else "y" * 4000 if i < 60 else "z" * (20 + i)) for i in range(200)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string"), 5).collect()
+    by = {s: list(g) for s, g in pieces_by(got, "shard")}
+    texts = dict(rows)
+    owners = [{texts[r.doc_id][0] for r in g} for g in by.values()]
+    assert sorted(map(sorted, owners)) == [["x"], ["y"], ["z"], ["z"], ["z"]]
+    sizes = [sum(r.size for r in g) for g, o in zip(by.values(), owners, strict=True) if o == {"z"}]
+    assert max(sizes) - min(sizes) <= 2 * 236 and all(sorted(r.slot for r in g) == list(range(len(g))) for g in by.values())
+
+
 def test_url_rules(spark):
     urls = {
         None: ("", "", None, "allow"), "no scheme/en/": ("", "", None, "allow"), "http://WWW.Example.com/en/x?y#z": ("www.example.com", "/en/x", "www.example.com/en/", "allow"), "http://a.example.com/en/": ("a.example.com", "/en/", "example.com/en/", "block"),
