@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,7 +42,13 @@ def closest(values: DataFrame, needles: list[str], k: int, cutoff: float, measur
     def score(texts_: pd.Series) -> pd.Series:
         return texts_.map(lambda t: [float(measure(n, t)) for n in rest])
 
-    scored = texts.select("text").distinct().withColumn("m", F.pandas_udf(score, "array<double>")("text"))
+    # A ratio is twice the characters in common over all: texts too unlike in length can't reach the cutoff.
+    size = F.length("text")
+    able = [F.lit(2.0) * F.least(size, F.lit(len(n))) >= F.lit(float(cutoff)) * (size + F.lit(len(n))) for n in rest]
+    distinct = texts.select("text").distinct()
+    if measure is closeness:
+        distinct = distinct.where(reduce(lambda a, b: a | b, [*able, *(F.contains("text", F.lit(n)) for n in rest)]))
+    scored = distinct.withColumn("m", F.pandas_udf(score, "array<double>")("text"))
     scored = scored.select("text", F.posexplode("m").alias("needle", "m")).where(F.col("m") >= cutoff)
     best = W.partitionBy("needle").orderBy(F.desc("m"), F.desc("nid"))
     near = texts.join(scored, "text").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

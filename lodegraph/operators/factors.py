@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.operators.signals import _add, _Fitted
@@ -14,6 +14,10 @@ from lodegraph.plans.branch import named_nodes
 from lodegraph.sources.shared import settle
 
 
+#: Rows that a generator draws at a time.
+DRAWN = 1 << 14
+
+
 def dot(a: str, b: str):
     return F.coalesce(F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
 
@@ -44,7 +48,7 @@ class MatrixFactorization(_Fitted):
     The sums are aggregates with partial sums on the map side; no user's or item's pairs
     meet in one task's memory. Nodes without pairs have no factors. Items of graphs from
     text start as the first draws of a seeded generator, in node order behind the users';
-    items of table graphs start from draws seeded by their own id, which needs no order.
+    items of table graphs start from a digest of seed and id, which needs no order.
     """
 
     supports_guidance = True
@@ -60,21 +64,36 @@ class MatrixFactorization(_Fitted):
         self.users, self.items = self.kept(graph, ("factors", self._key()), lambda: self._alternate(graph))
 
     def _start(self, graph, items: DataFrame) -> DataFrame:
+        """(nid, f): the items' first factors, drawn where the items are."""
         k, seed = self.factors, self.seed
-        if graph.from_text:
-            low, high = graph.block(self.user_type)
-            rng = np.random.default_rng(seed)
-            rng.normal(scale=0.1, size=(high - low, k))
-            low, high = graph.block(self.item_type)
-            drawn = rng.normal(scale=0.1, size=(high - low, k))
-            return graph.spark.createDataFrame([(low + i, [float(x) for x in v]) for i, v in enumerate(drawn)], "nid bigint, f array<double>")
+        if not graph.from_text:
+            # Two uniform numbers from a digest of seed, id and factor make a normal one (Box and Muller).
+            def uniform(j: int, part: int) -> Column:
+                digest = F.md5(F.concat(F.lit(f"{seed}|{j}|"), F.col("nid").cast("string")))
+                return (F.conv(F.substring(digest, part, 13), 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+            drawn = [F.lit(0.1) * F.sqrt(F.lit(-2.0) * F.ln(uniform(j, 1))) * F.cos(F.lit(2 * np.pi) * uniform(j, 17)) for j in range(k)]
+            return items.select("nid", F.array(*drawn).alias("f"))
+        # Places are dense here: the generator's sequence runs over all users, then all items, and a task takes what is its own.
+        low, high = graph.block(self.user_type)
+        first, users = graph.block(self.item_type)[0], high - low
 
         def run(batches):
-            for batch in batches:
-                f = [np.random.Generator(np.random.Philox(key=[seed, int(n)])).normal(scale=0.1, size=k) for n in batch.column(0).to_pylist()]
-                yield pa.record_batch([batch.column(0), pa.array(f, pa.list_(pa.float64()))], ["nid", "f"])
-
-        return items.mapInArrow(run, "nid bigint, f array<double>")
+            rng = np.random.default_rng(seed)
+            begin, block = 0, rng.normal(scale=0.1, size=(DRAWN, k))
+            for batch in batches:  # ids ascend
+                row = users + batch.column(0).to_numpy() - first
+                out, done = np.zeros((len(row), k)), 0
+                while done < len(row):
+                    if row[done] >= begin + DRAWN:
+                        begin, block = begin + DRAWN, rng.normal(scale=0.1, size=(DRAWN, k))
+                        continue
+                    to = int(np.searchsorted(row, begin + DRAWN))
+                    out[done:to] = block[row[done:to] - begin]
+                    done = to
+                yield pa.record_batch([batch.column(0), pa.array(list(out), pa.list_(pa.float64()))], ["nid", "f"])
+
+        return items.sortWithinPartitions("nid").mapInArrow(run, "nid bigint, f array<double>")
 
     def _alternate(self, graph) -> tuple[DataFrame, DataFrame]:
         k = self.factors
@@ -112,8 +131,12 @@ class MatrixFactorization(_Fitted):
             item = ctx.node()
         if user is not None:
             return self._pairwise(df, user, item, self.vectors(), out)
-        # Without a user in the row: the first user with factors that the pattern can reach, the least id.
-        anchor = self.users.orderBy("nid").limit(1).select(F.col("f").alias("_anchor"))
+        # Without a user in the row: the first of those that the pattern matches; a pattern without users scores nothing.
+        matched = ctx.matched(self.user_type)
+        if matched is None:
+            return df.withColumn(out, F.lit(0.0))
+        first = matched.agg(F.min("nid").alias("nid"))  # one row
+        anchor = first.join(self.users, "nid").select(F.col("f").alias("_anchor"))
         df = df.join(self.items.toDF(f"_i{out}", f"_f{out}"), F.col(item) == F.col(f"_i{out}"), "left").join(F.broadcast(anchor), how="left")
         return df.withColumn(out, dot("_anchor", f"_f{out}")).drop("_anchor", f"_i{out}", f"_f{out}")
 

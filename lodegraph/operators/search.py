@@ -35,8 +35,10 @@ class Default(Engine):
 
     def joined(self, graph, branch, outputs) -> DataFrame | None:
         walked = {s.name for p in outputs if p in branch.paths for s in branch.paths[p][1]}
-        needed = {v for o in outputs for v in (branch.paths[o][0] if o in branch.paths else [o])} | {v for s in branch.anti for v in (s.a, s.b)}
-        allowed = {v: branch.candidates(v) for v in branch.vars}
+        needed = {v for o in outputs for v in (branch.paths[o][0] if o in branch.paths else [o])}
+        hidden = hidden_ends(branch, needed)
+        needed |= {v for s in branch.anti for v in (s.a, s.b)} - set(hidden)
+        allowed = {v: branch.candidates(v) for v in branch.vars if v not in hidden}
         steps = list(branch.steps)
 
         def frame(step) -> DataFrame:
@@ -101,9 +103,39 @@ class Default(Engine):
         return reduce(lambda a, b: a.drop("_exists").crossJoin(b.drop("_exists")) if "_exists" not in b.columns else a.crossJoin(b.withColumnRenamed("_exists", "_more")).drop("_more"), done)
 
 
+def hidden_ends(branch, needed: set[str]) -> dict[str, str]:
+    """Variables that only one negated edge names and nothing reads, each with the edge's other end."""
+    out: dict[str, str] = {}
+    for step in branch.anti:
+        for v, other in ((step.b, step.a), (step.a, step.b)):
+            edges = [s for s in [*branch.steps, *branch.anti] if v in (s.a, s.b)]
+            if v != other and v not in needed and other not in out and len(edges) == 1 and not any(v in nodes for nodes, _ in branch.paths.values()):
+                out[v] = other
+                break
+    return out
+
+
+def without_some(graph, branch, step, hidden: str, other: str, df: DataFrame) -> DataFrame:
+    """Rows for which some admitted hidden end has no such edge: fewer distinct ends are linked than there are. No pairs are made."""
+    admitted = branch.candidates(hidden)
+    if admitted is None:
+        admitted = graph.nodes(branch.vars[hidden].type).toDF(hidden)
+    admitted = admitted.distinct()
+    linked = step_frame(graph, branch, step, False).join(admitted, hidden, "left_semi").distinct().groupBy(F.col(other).alias("_linked")).agg(F.count("*").alias("_n"))
+    all_ = admitted.agg(F.count("*").alias("_all"))  # one row
+    df = df.join(linked, F.col(other) == F.col("_linked"), "left").crossJoin(F.broadcast(all_))
+    return df.where(F.coalesce("_n", F.lit(0)) < F.col("_all")).drop("_linked", "_n", "_all")
+
+
 def finish(graph, branch, outputs, df: DataFrame) -> DataFrame:
     """Anti-joins, paths as structs, and set semantics."""
+    shown = {v for o in outputs for v in (branch.paths[o][0] if o in branch.paths else [o])}
+    hidden = hidden_ends(branch, shown)
     for step in branch.anti:
+        end = next((v for v in (step.a, step.b) if v in hidden and v not in df.columns), None)
+        if end is not None:
+            df = without_some(graph, branch, step, end, hidden[end], df)
+            continue
         df = df.join(step_frame(graph, branch, step, False), sorted({step.a, step.b}), "left_anti")
     cols = []
     for o in outputs:

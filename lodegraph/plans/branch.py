@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions.compare import predicate
 from lodegraph.functions.fuzzy import closest
-from lodegraph.plans.refs import Degree, Edge, Node, Vocabulary
+from lodegraph.plans.refs import Edge, Node, Vocabulary
 
 
 @dataclass
@@ -68,10 +68,8 @@ class Branch(Vocabulary):
         return self.vars[name]
 
     def constrain(self, expr, op, value):
-        if isinstance(expr, Degree):
-            self.var(expr.node).preds.append(("degree", self.negative, expr.relation, expr.reverse, op, value))
-        else:
-            self.var(expr.node).preds.append(("attr", self.negative, expr.name, op, value))
+        what = ("degree", self.negative, expr.name, expr.reverse) if expr.counted else ("attr", self.negative, expr.name)
+        self.var(expr.node).preds.append((*what, op, value))
 
     def member_of(self, ref, values):
         if isinstance(ref, Node):
@@ -121,52 +119,65 @@ class Branch(Vocabulary):
     # -- checks, before any job
 
     def reject_disconnected(self, projected: set[str]) -> None:
-        for p in [n for n in projected if n in self.paths]:
-            projected = projected | set(self.paths[p][0])
-        reached = {n for n in projected if n in self.vars}
-        if not reached:
-            return
-        links = [(s.a, s.b) for s in [*self.steps, *self.anti]]
-        grown = True
-        while grown:
-            more = {x for a, b in links for x in (a, b) if a in reached or b in reached} - reached
-            reached |= more
-            grown = bool(more)
-        lost = sorted('Node("%s")' % v.type if v.type else "Node()" for n, v in self.vars.items() if n not in reached)
-        if lost:
-            raise ValueError(f"{', '.join(lost)} is constrained but never joined to the selected pattern; use the same object in select() and where(), or relate the two")
+        """Every variable must hang together with a projected one, by edges that must or must not exist."""
+        group = {name: name for name in self.vars}
+
+        def root(name: str) -> str:
+            while group[name] != name:
+                name = group[name]
+            return name
+
+        together = [(s.a, s.b) for s in [*self.steps, *self.anti]]
+        shown = [n for n in projected if n in self.vars] + [n for p in projected & self.paths.keys() for n in self.paths[p][0]]
+        for a, b in [*together, *zip(shown, shown[1:], strict=False)]:
+            group[root(a)] = root(b)
+        alone = sorted(f"Node({v.type!r})" if v.type else "Node()" for n, v in self.vars.items() if shown and root(n) != root(shown[0]))
+        if alone:
+            raise ValueError(f"no edge of the pattern leads from what is selected to {', '.join(alone)}: was another object meant, or is an edge missing?")
 
     # -- candidates
 
+    def possible(self, name: str) -> list[str]:
+        """Types that a variable can have, by its own type, its predicates and its edges' relations; known without reading a row."""
+        var, graph = self.vars[name], self.graph
+        if var.type is not None:
+            return [var.type] if var.type in graph.types else []
+        types = [t for t in graph.types if not any(p[0] in ("attr", "best") and not p[1] and graph.column(t, p[2]) is None for p in var.preds)]
+        for s in self.steps:
+            for here, there, turned in ((s.a, s.b, False), (s.b, s.a, True)):
+                if here == name and there != name:
+                    other = self.vars[there].type
+                    back = None if s.direction is None else s.direction == turned
+                    types = [t for t in types if t in graph.near([other] if other else graph.types, s.relations, back)]
+        return types
+
     def candidates(self, name: str) -> DataFrame | None:
         """(name): nodes that a variable's predicates admit; None if it has none and edges can tell its type."""
         var, graph = self.vars[name], self.graph
         if not var.preds:
             return None if var.type is None or var.type in graph.types else graph.nodes(var.type).toDF(name)
         frames = []
-        for type_ in [var.type] if var.type is not None else graph.types:
-            if type_ not in graph.tables:
-                continue
-            df, cond, never, later = graph.attrs(type_), F.lit(True), False, []
+        for type_ in self.possible(name):
+            cond, later, degrees, never = F.lit(True), [], {}, False
             for k, (kind, negative, *what) in enumerate(var.preds):
-                here = None
                 if kind == "attr":
                     column = graph.column(type_, what[0])
                     here = predicate(F.col(f"`{column[0]}`"), column[1], what[1], what[2]) if column else None
                 elif kind == "degree":
                     relation, reverse, op, value = what
-                    degree = f"_degree{k}"
-                    df = df.join(graph.degrees(relation, reverse).toDF("nid", degree), "nid", "left")
-                    here = predicate(F.coalesce(degree, F.lit(0)), "bigint", op, value)
+                    degrees[f"_degree{k}"] = graph.degrees(relation, reverse)
+                    here = predicate(F.coalesce(f"_degree{k}", F.lit(0)), "bigint", op, value)
                 else:
                     later.append((kind, negative, what))
                     continue
-                if here is None and not negative:
-                    never = True
-                elif here is not None:
+                never |= here is None and not negative
+                if here is not None:
                     cond = cond & (~here if negative else here)
             if never:
                 continue
+            df = graph.attrs(type_)
+            for column, found in degrees.items():
+                df = df.join(found.toDF("nid", column), "nid", "left")
             df = df.where(cond)
             for kind, negative, what in later:
                 how = "left_anti" if negative else "left_semi"

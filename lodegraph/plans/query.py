@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from lodegraph.operators.search import Default
 from lodegraph.plans.branch import Branch, Names
-from lodegraph.plans.refs import Attr, Condition, Degree, Node, Path, PathStep, PathStepAttr, Score, Strategy, branches
+from lodegraph.plans.refs import Condition, Node, Path, Position, Score, Strategy, Term, branches
 from lodegraph.sources.graph import PLACE, TYPE_SHIFT, Key, Rel
+from lodegraph.sources.shared import settle
 
 
 class Scope:
@@ -23,13 +24,17 @@ class Scope:
 
 
 def variable(projection):
-    if isinstance(projection, (Attr, Degree)):
+    if isinstance(projection, Term):
         return projection.node
-    if isinstance(projection, (PathStep, PathStepAttr)):
-        return projection.path
+    if isinstance(projection, Position):
+        return projection._of
     return projection if isinstance(projection, (Node, Path)) else None
 
 
+def shows_node(projection) -> bool:
+    return isinstance(projection, Node) or isinstance(projection, Position) and projection._attr is None
+
+
 class Context:
     """What a strategy may know of the query it scores: the graph, and which column holds what."""
 
@@ -41,6 +46,12 @@ class Context:
     def of_type(self, type_: str) -> str | None:
         return next((self.column[id(v)] for v in self.query.visible if isinstance(v, Node) and v.type == type_), None)
 
+    def matched(self, type_: str) -> DataFrame | None:
+        """(nid) of the nodes of a type that the pattern matches without showing them; None if it has no such variable."""
+        held = [n for n in self.query.names.held if isinstance(n, Node) and n.type == type_ and id(n) not in {id(v) for v in self.query.visible}]
+        frames = [self.query._search([], only=self.query.names.of[id(n)]).toDF("nid") for n in held]
+        return reduce(DataFrame.unionByName, frames) if frames else None
+
     def node(self) -> str:
         if self.primary is None:
             raise ValueError("this strategy scores nodes: project a Node, or an attribute of one")
@@ -54,7 +65,7 @@ class Query:
     def __init__(self, graph, projections):
         self.graph, self.projections = graph, tuple(projections)
         for p in self.projections:
-            if not isinstance(p, (Attr, Degree, Node, Path, PathStep, PathStepAttr, Score)):
+            if not isinstance(p, (Term, Node, Path, Position, Score)):
                 raise TypeError(f"can't select {p!r}")
         self.visible = list({id(v): v for v in map(variable, self.projections) if v is not None}.values())
         self.names = Names()
@@ -68,6 +79,8 @@ class Query:
         self.scopes = (Scope(),)
         self.current = 0
         self._rows = None
+        #: column of an untyped node -> the types it can have
+        self._types: dict[str, list[str]] = {}
 
     # -- verbs
 
@@ -122,6 +135,13 @@ class Query:
     def columns(self) -> list[str]:
         return [self.names.of[id(v)] for v in self.visible]
 
+    def types_of(self, column: str) -> list[str]:
+        """Types that a node column can have."""
+        type_ = next((v.type for v in self.names.held if self.names.of[id(v)] == column and isinstance(v, Node)), None)
+        if type_ is not None:
+            return [type_] if type_ in self.graph.types else []
+        return self._types.get(column) or list(self.graph.types)
+
     def row_order(self) -> list:
         """Rows' own order: by ids, column by column."""
         out = []
@@ -134,8 +154,8 @@ class Query:
         """Distinct bindings of the projected variables, unranked."""
         return self._search([])
 
-    def _search(self, hidden: list[str]) -> DataFrame:
-        outputs = [*self.columns(), *hidden]
+    def _search(self, hidden: list[str], only: str | None = None) -> DataFrame:
+        outputs = [*self.columns(), *hidden] if only is None else [only]
         guide = next((s for sc in reversed(self.scopes) for s in sc.rank if s.supports_guidance), None) or next((s for s in self.soft() if s.supports_guidance), None)
         whole: list = [[]]
         for c in self.conditions:
@@ -152,7 +172,15 @@ class Query:
                 if isinstance(v, Path) and self.names.of[id(v)] not in branch.paths:
                     raise ValueError("a selected path needs a shape in where(): path == [...]")
             branch.reject_disconnected(set(self.columns()))
+            if only is not None and only not in branch.vars:
+                continue
+            for name, var in branch.vars.items():
+                if var.type is None:
+                    may = set(branch.possible(name)) | set(self._types.get(name, ()))
+                    self._types[name] = [t for t in self.graph.types if t in may]
             frames.append(self.engine.search(self.graph, branch, [o for o in outputs if o in branch.vars or o in branch.paths or o in hidden], guide))
+        if not frames:
+            return self.graph.nodes("").toDF(only)
         return frames[0] if len(frames) == 1 else reduce(DataFrame.unionByName, frames).distinct()
 
     def _combined(self, df: DataFrame, strategies, out: str, group: str | None) -> DataFrame:
@@ -170,6 +198,7 @@ class Query:
             df = df.groupBy(*by).agg(*(F.max(r).alias(r) for r in raw))
             kept = by
         if group is None:
+            df = settle(df, "scored")  # read for its ends and for its rows
             ends = df.agg(*(f(r).alias(f"{r}{n}") for r in raw for n, f in (("_lo", F.min), ("_hi", F.max))))
             df = df.crossJoin(F.broadcast(ends))  # one row
         else:
@@ -185,22 +214,29 @@ class Query:
         df, order = self._search(self._hidden()), self.row_order()
         if self.group is None:
             outer = self._outer()
-            df = self._combined(df, outer, "score", None)
-            order = ([F.desc("score")] if outer else []) + order
+            if len(outer) == 1 and hasattr(outer[0], "sorted_by") and not any(isinstance(p, Score) for p in self.projections):
+                # Nobody reads the score: rows come by the signal's own order, without a place for each.
+                df, first = outer[0].sorted_by(Context(self), df)
+                order = first + order
+                df = df.withColumn("score", F.lit(0.0))
+            else:
+                df = self._combined(df, outer, "score", None)
+                order = ([F.desc("score")] if outer else []) + order
             if self.scopes[0].limit is not None:
                 df = df.orderBy(*order).limit(self.scopes[0].limit)
             return df, order
         group, inner, outer = self.names(self.group, "v"), self.scopes[-1], self.scopes[0]
+        df = settle(df, "grouped")  # read for groups' rows, leaders and order alike
+        plain = [c for c in self.columns() if c[0] == "v"]
+        firsts = df.groupBy(F.col(group).alias("_g")).agg(F.min(F.struct(*plain)).alias("_first"))
         df = self._combined(df, inner.rank, "score", group)
         within = W.partitionBy(group).orderBy(*([F.desc("score")] if inner.rank else []), *order)
         df = df.withColumn("_rn", F.row_number().over(within))
         if inner.limit is not None:
             df = df.where(F.col("_rn") <= inner.limit)
-        plain = [c for c in self.columns() if c[0] == "v"]
         rank = self._outer()
         tops = df.where("_rn = 1").drop("score", "_rn")
         tops = self._combined(tops, rank, "_outer", None).select(F.col(group).alias("_group"), F.col("_outer"))
-        firsts = self._search([]).groupBy(F.col(group).alias("_g")).agg(F.min(F.struct(*plain)).alias("_first"))
         tops = tops.join(firsts, F.col("_group") == F.col("_g")).drop("_g")
         by = ([F.desc("_outer")] if rank else []) + [F.col("_first")]
         if outer.limit is not None:
@@ -224,14 +260,14 @@ class Query:
             return df
         return (df.orderBy(*order) if ordered else df).select(*cols)
 
-    def _raw(self, df: DataFrame, nid, type_: str | None, name: str, out: str) -> tuple[DataFrame, object]:
-        """An attribute of a node column, joined from its type's table or from all that have it."""
+    def _raw(self, df: DataFrame, nid, type_: str | None, name: str, out: str, types: list[str] | None = None) -> tuple[DataFrame, object]:
+        """An attribute of a node column, joined from its type's table or from those of types (all) that have it."""
         graph = self.graph
-        types = [type_] if type_ is not None else graph.types
+        types = [type_] if type_ is not None else types or graph.types
         found = {t: c for t in types if (c := graph.column(t, name))}
         if not found:
             return df, F.lit(None).cast("string")
-        if len(found) == 1 and name == "id" and not graph.from_text and found[(t := next(iter(found)))][1] == "bigint" and type_ is not None:
+        if name == "id" and all(graph.by_key(t) for t in types):
             return df, nid.bitwiseAND(F.lit(PLACE))
         kinds = {k for _, k in found.values()}
         cast = None if len(kinds) == 1 else "string"
@@ -242,29 +278,27 @@ class Query:
         col = F.col(self.names.of[id(variable(p))]) if variable(p) is not None else None
         if isinstance(p, Score):
             return df, F.col("score")
-        if isinstance(p, Attr):
-            return self._raw(df, col, p.node.type, p.name, str(i))
-        if isinstance(p, Degree):
-            degrees = self.graph.degrees(p.relation, p.reverse).toDF(f"_n{i}", f"_a{i}")
+        if isinstance(p, Term) and not p.counted:
+            return self._raw(df, col, p.node.type, p.name, str(i), self._types.get(self.names.of[id(p.node)]))
+        if isinstance(p, Term):
+            degrees = self.graph.degrees(p.name, p.reverse).toDF(f"_n{i}", f"_a{i}")
             return df.join(degrees, col == F.col(f"_n{i}"), "left"), F.coalesce(f"_a{i}", F.lit(0)).cast("bigint")
         if isinstance(p, Node):
-            return self._key(df, col, p.type, str(i))
+            return self._key(df, col, p.type, str(i), self._types.get(self.names.of[id(p)]))
         nodes = F.col(f"{self.names.of[id(variable(p))]}.nodes")
         if isinstance(p, Path):
             return df, self._walk(F.col(self.names.of[id(p)]))
-        at = F.get(nodes, F.when(F.lit(p.index) < 0, F.size(nodes) + p.index).otherwise(F.lit(p.index)))
+        at = F.get(nodes, F.when(F.lit(p._at) < 0, F.size(nodes) + p._at).otherwise(F.lit(p._at)))
         df = df.withColumn(f"_at{i}", at)
-        if isinstance(p, PathStepAttr):
-            return self._raw(df, F.col(f"_at{i}"), None, p.name, str(i))
+        if p._attr is not None:
+            return self._raw(df, F.col(f"_at{i}"), None, p._attr, str(i))
         return self._key(df, F.col(f"_at{i}"), None, str(i))
 
     def _type_name(self, nid):
         return F.element_at(F.array(*(F.lit(t) for t in self.graph.types)), (F.shiftright(nid, TYPE_SHIFT) + 1).cast("int"))
 
-    def _key(self, df, nid, type_, out):
-        if type_ is None and len({self.graph.column(t, "id")[1] for t in self.graph.types}) == 1 and dict(self.graph.tables[self.graph.types[0]].dtypes)["id"] == "bigint" and not self.graph.from_text:
-            return df, F.concat(self._type_name(nid), F.lit("."), nid.bitwiseAND(F.lit(PLACE)).cast("string"))
-        df, raw = self._raw(df, nid, type_, "id", out)
+    def _key(self, df, nid, type_, out, types: list[str] | None = None):
+        df, raw = self._raw(df, nid, type_, "id", out, types)
         return df, F.concat(self._type_name(nid), F.lit("."), raw.cast("string"))
 
     def _walk(self, path):
@@ -279,9 +313,9 @@ class Query:
         for i, p in enumerate(self.projections):
             if isinstance(p, (Node, Path)):
                 col = F.col(self.names.of[id(p)])
-            elif isinstance(p, PathStep):
-                nodes = F.col(f"{self.names.of[id(p.path)]}.nodes")
-                col = F.get(nodes, F.when(F.lit(p.index) < 0, F.size(nodes) + p.index).otherwise(F.lit(p.index)))
+            elif isinstance(p, Position) and p._attr is None:
+                nodes = F.col(f"{self.names.of[id(p._of)]}.nodes")
+                col = F.get(nodes, F.when(F.lit(p._at) < 0, F.size(nodes) + p._at).otherwise(F.lit(p._at)))
             else:
                 df, col = self._value(df, p, i)
             cols.append(col.alias(f"c{i}"))
@@ -290,17 +324,21 @@ class Query:
         rows = df.orderBy(*order).select(*cols).collect()
         ids = set()
         for i, p in enumerate(self.projections):
-            if isinstance(p, (Node, PathStep)):
+            if shows_node(p):
                 ids |= {r[i] for r in rows}
             elif isinstance(p, Path):
                 ids |= {n for r in rows for n in r[i].nodes}
         for t in {graph.type_of(n) for n in ids if n is not None}:
             mine = [n for n in ids if n is not None and graph.type_of(n) == t]
-            for k in range(0, len(mine), 1000):
-                plain |= {r.nid: Key(graph, r.nid, t, r.id) for r in graph.attrs(t).where(F.col("nid").isin(mine[k : k + 1000])).select("nid", "id").collect()}
+            if graph.by_key(t):
+                plain |= {n: Key(graph, n, t, n & PLACE) for n in mine}
+                continue
+            asked = graph.spark.createDataFrame([(n,) for n in mine], "asked bigint")  # nodes of rows that are collected here
+            found = graph.attrs(t).select("nid", "id").join(F.broadcast(asked), F.col("nid") == F.col("asked"))
+            plain |= {r.nid: Key(graph, r.nid, t, r.id) for r in found.collect()}
 
         def shown(p, v):
-            if isinstance(p, (Node, PathStep)):
+            if shows_node(p):
                 return plain.get(v)
             if isinstance(p, Path):
                 out = [plain[v.nodes[0]]]

@@ -11,11 +11,12 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.sources.shared import reachable
+from lodegraph.sources.shared import reachable, settle
 
 TYPE_SHIFT = 48
 PLACE = (1 << TYPE_SHIFT) - 1
@@ -98,12 +99,15 @@ class Later(dict):
         return value
 
 
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
 @dataclass
 class NodeTable:
     """Nodes of one type from a DataFrame: key column, attribute columns, label column.
 
     A whole-numbered key (0 to 2^48 - 1) is the node's place itself, which costs no shuffle;
-    another key is numbered in its own order.
+    a query that meets another number fails. A key of another kind is numbered in its own order.
     """
 
     type: str
@@ -112,6 +116,18 @@ class NodeTable:
     attrs: tuple[str, ...] = ()
     label: str | None = None
 
+    def numbered_by_key(self) -> bool:
+        return dict(self.df.dtypes)[self.key] in WHOLE
+
+    def kinds(self) -> dict[str, str]:
+        own = dict(self.df.dtypes)
+        return {"nid": "bigint", "id": "bigint" if self.numbered_by_key() else own[self.key], **{c: own[c] for c in self.attrs if c != self.key}}
+
+    def rows(self) -> DataFrame:
+        """(id, attributes) of rows with a key."""
+        id_ = F.col(self.key).cast("bigint") if self.numbered_by_key() else F.col(self.key)
+        return self.df.where(F.col(self.key).isNotNull()).select(id_.alias("id"), *(F.col(c) for c in self.attrs if c != self.key))
+
 
 @dataclass
 class EdgeTable:
@@ -122,6 +138,17 @@ class EdgeTable:
     source: tuple[str, str]
     target: tuple[str, str]
 
+    def ends(self, type_: str) -> list[DataFrame]:
+        """(id) of the ends that are of a type."""
+        return [self.df.where(F.col(c).isNotNull()).select(F.col(c).alias("id")) for t, c in (self.source, self.target) if t == type_]
+
+
+def place_of(number: int, key: Column) -> Column:
+    """A whole-numbered key's node id in the type of that number; keys that don't fit fail the query."""
+    key = key.cast("bigint")
+    wrong = F.raise_error(F.concat(F.lit("a node's key must be from 0 to 2^48 - 1, not "), key.cast("string"))).cast("bigint")
+    return F.when((key >= 0) & (key <= PLACE), F.lit(number << TYPE_SHIFT) + key).when(key.isNotNull(), wrong)
+
 
 @dataclass
 class Graph:
@@ -137,6 +164,8 @@ class Graph:
     labels: dict[str, str] = field(default_factory=dict)
     #: whether places are dense and in order of first appearance
     from_text: bool = False
+    #: type -> {column: kind}, known without making the table
+    kinds: dict[str, dict[str, str]] = field(default_factory=dict)
     token: str = field(default_factory=lambda: uuid.uuid4().hex)
     memo: dict = field(default_factory=dict)
 
@@ -146,29 +175,40 @@ class Graph:
     # -- construction
 
     @classmethod
-    def from_tables(cls, nodes: Iterable[NodeTable], edges: Iterable[EdgeTable]) -> Graph:
+    def from_tables(cls, nodes: Iterable[NodeTable], edges: Iterable[EdgeTable], *, related: bool = False) -> Graph:
+        """A graph over tables, read when queries read them.
+
+        A node is a key that a node table or an edge's end names; where a table repeats a key its
+        greatest row counts. related promises what a database's primary and foreign keys do, one row for each
+        key and no edge to a key without a row, and saves the shuffles that find out.
+        """
         nodes, edges = list(nodes), list(edges)
         spark = nodes[0].df.sparkSession
         types = list(dict.fromkeys(t.type for t in nodes))
-        tables, keys, labels = Later(), Later(), {}
-        for i, t in enumerate(nodes):
-            cols = [F.col(c) for c in t.attrs if c != t.key]
-            if dict(t.df.dtypes)[t.key] in ("tinyint", "smallint", "int", "bigint"):
-                nid = F.lit(i << TYPE_SHIFT) + F.col(t.key).cast("bigint")
-                tables[t.type] = t.df.where(F.col(t.key).isNotNull()).select(nid.alias("nid"), F.col(t.key).cast("bigint").alias("id"), *cols)
-            else:
+        tables, keys, labels, kinds = Later(), Later(), {}, {}
+
+        def whole(t: NodeTable) -> DataFrame:
+            rows = t.rows()
+            attrs = [c for c in rows.columns if c != "id"]
+            if related and t.numbered_by_key():
+                return rows
+            rows = rows.groupBy("id").agg(F.max(F.struct(*attrs)).alias("row")).select("id", *(F.col(f"row.{c}").alias(c) for c in attrs)) if attrs else rows.distinct()
+            ends = [] if related else [end for e in edges for end in e.ends(t.type)]
+            if ends:
+                named = reduce(DataFrame.unionByName, ends).select(F.col("id").cast(kinds[t.type]["id"]).alias("id")).distinct()
+                more = named.join(rows.select("id"), "id", "left_anti")
+                rows = rows.unionByName(more, allowMissingColumns=True)
+            return rows
 
-                def numbered(i=i, t=t):
-                    order = indexed(t.df.where(F.col(t.key).isNotNull()).select(t.key).distinct().sort(t.key), "place")
-                    return order.select(F.col(t.key).alias("id"), (F.lit(i << TYPE_SHIFT) + F.col("place")).alias("nid"))
-
-                def whole(t=t, cols=cols):
-                    named = keys[t.type].join(t.df.withColumnRenamed(t.key, "id").select("id", *cols), "id") if cols else keys[t.type]
-                    return named.select("nid", "id", *cols)
-
-                keys[t.type], tables[t.type] = numbered, whole
+        for i, t in enumerate(nodes):
+            kinds[t.type] = t.kinds()
             if t.label:
                 labels[t.type] = "id" if t.label == t.key else t.label
+            if t.numbered_by_key():
+                tables[t.type] = lambda i=i, t=t: whole(t).select(place_of(i, F.col("id")).alias("nid"), "*")
+            else:
+                keys[t.type] = lambda i=i, t=t: indexed(whole(t).select("id"), ["id"], "place").select("id", (F.lit(i << TYPE_SHIFT) + F.col("place")).alias("nid"))
+                tables[t.type] = lambda t=t: keys[t.type].join(whole(t), "id").select("nid", "id", *(c for c in t.attrs if c != t.key)) if t.attrs else keys[t.type].select("nid", "id")
         parts: dict = {}
         for e in edges:
 
@@ -180,17 +220,27 @@ class Graph:
                         ends.append(F.col(f"_{name}"))
                     else:
                         df = df.where(F.col(column).isNotNull())
-                        ends.append(F.lit(types.index(type_) << TYPE_SHIFT) + F.col(column).cast("bigint"))
+                        ends.append(place_of(types.index(type_), F.col(column)))
                 return df.select(ends[0].alias("src"), ends[1].alias("dst"))
 
             parts.setdefault(e.relation, []).append((e.source[0], e.target[0], steps))
-        return cls(spark, types, list(parts), tables, parts, labels)
+        return cls(spark, types, list(parts), tables, parts, labels, kinds=kinds)
 
     # -- catalog
 
     def attrs(self, type_: str) -> DataFrame:
         return self.tables[type_]
 
+    def kinds_of(self, type_: str) -> dict[str, str]:
+        """Columns of a type's table and their kinds; none for an unknown type."""
+        if type_ not in self.kinds and type_ in self.tables:
+            self.kinds[type_] = dict(self.tables[type_].dtypes)
+        return self.kinds.get(type_, {})
+
+    def by_key(self, type_: str) -> bool:
+        """Whether a node's id is arithmetic on its key."""
+        return not self.from_text and self.kinds_of(type_).get("id") == "bigint"
+
     def nodes(self, type_: str | None = None) -> DataFrame:
         """(nid) of a type, or of all; no rows for an unknown type."""
         named = [type_] if type_ is not None else self.types
@@ -200,18 +250,18 @@ class Graph:
     def label_column(self, type_: str) -> str | None:
         if type_ in self.labels:
             return self.labels[type_]
-        return next((c for c in LABELS if c in self.tables[type_].columns), None)
+        return next((c for c in LABELS if c in self.kinds_of(type_)), None)
 
     def column(self, type_: str, name: str) -> tuple[str, str] | None:
         """Name and kind of the column an attribute is, for a type that has it. 'label' is resolved."""
         if name == "label":
             name = self.label_column(type_) or "label"
-        kinds = dict(self.tables[type_].dtypes) if type_ in self.tables else {}
+        kinds = self.kinds_of(type_)
         return (name, kinds[name]) if name in kinds and name != "nid" else None
 
     def schema(self) -> dict:
         """{type: {"columns", "relations"}}, relations counted from either end."""
-        out = {t: {"columns": {c for c in self.tables[t].columns if c != "nid"} | ({"label"} if self.label_column(t) else set()), "relations": set()} for t in self.types}
+        out = {t: {"columns": {c for c in self.kinds_of(t) if c != "nid"} | ({"label"} if self.label_column(t) else set()), "relations": set()} for t in self.types}
         for relation, parts in self.parts.items():
             for source, target, df in parts:
                 ends = [source, target]
@@ -244,7 +294,7 @@ class Graph:
             if type_ in self.tables:
                 asked.setdefault(type_, set()).add(str(raw))
         for type_, raws in asked.items():
-            kind = dict(self.tables[type_].dtypes)["id"]
+            kind = self.kinds_of(type_)["id"]
             if kind == "bigint":
                 wanted = [int(r) for r in raws if r.lstrip("-").isdigit()]
             else:
@@ -283,6 +333,16 @@ class Graph:
             return self.spark.createDataFrame([], "s bigint, d bigint" + (", rel struct<name:string,reverse:boolean>" if named else ""))
         return reduce(DataFrame.unionByName, frames)
 
+    def near(self, types: Iterable[str], relations: Iterable[str] | None = None, direction: bool | None = None) -> set[str]:
+        """Types that one step along relations can reach from nodes of some types."""
+        types, out = set(types), set()
+        for name in self.relations if relations is None else relations:
+            for a, b, _ in self.parts.get(name, ()):
+                for source, target in ((a, b), (b, a)) if direction is None else ((b, a),) if direction else ((a, b),):
+                    if source is None or source in types:
+                        out |= set(self.types) if target is None else {target}
+        return out
+
     def degrees(self, relation: str, reverse: bool = False) -> DataFrame:
         """(nid, degree) of nodes with an edge of the relation; parallel edges count."""
         return self.edges([relation], reverse).groupBy(F.col("s").alias("nid")).agg(F.count("*").alias("degree"))
@@ -291,6 +351,38 @@ class Graph:
         """(s, d, n): undirected, with n parallel edges counted from both ends."""
         return self.edges(None, None).groupBy("s", "d").agg(F.count("*").alias("n"))
 
+    def only(self, relations: Iterable[str], types: Iterable[str] | None = None) -> Graph:
+        """The same nodes (of the first of its types, if named) with some relations only; ids stay."""
+        kept = self.types if types is None else [t for t in self.types if t in set(types)]
+        if kept != self.types[: len(kept)]:
+            raise ValueError("types must be the graph's first ones, for ids to stay")
+        tables = Later({t: (lambda t=t: self.tables[t]) for t in kept})
+        return Graph(self.spark, kept, list(relations), tables, {r: self.parts[r] for r in relations}, self.labels, self.from_text, kinds={t: self.kinds_of(t) for t in kept})
+
+    # -- neighbours of single nodes
+
+    def expand(self, keys: Iterable, relation: str | None = None, reverse: bool | None = None) -> DataFrame:
+        """(s, d, rel) of the steps from these nodes: of a relation or all, in one direction or (None) both."""
+        named = self.spark.createDataFrame([(n,) for n in self.resolve(keys)], "s bigint")  # as many as the caller named
+        return self.edges(None if relation is None else [relation], reverse, True).join(F.broadcast(named), "s")
+
+    def neighbours(self, key, relation: str | None = None, reverse: bool | None = None) -> list[Key]:
+        """Distinct nodes one step from a node, by id."""
+        steps = self.expand([key], relation, reverse).select("d").distinct()
+        found = []
+        for number in sorted({r.t for r in steps.select(F.shiftright("d", TYPE_SHIFT).alias("t")).distinct().collect()}):
+            t = self.types[number]
+            rows = steps.join(self.tables[t].select("nid", "id"), F.col("d") == F.col("nid")).orderBy("nid").collect()
+            found += [Key(self, r.nid, t, r.id) for r in rows]
+        return found
+
+    def has_edge(self, source, target, relation: str | None = None) -> bool:
+        """Whether an edge leads from source to target."""
+        a, b = self.lookup(source), self.lookup(target)
+        if a is None or b is None:
+            return False
+        return not self.edges(None if relation is None else [relation]).where((F.col("s") == a) & (F.col("d") == b)).isEmpty()
+
     # -- queries
 
     def select(self, *projections):
@@ -301,12 +393,17 @@ class Graph:
     query = select
 
 
-def indexed(df: DataFrame, name: str) -> DataFrame:
-    """A sorted DataFrame with each row's place: partitions are counted, then numbered. The DataFrame API has no such operator."""
-    from pyspark.sql import types as T
+def indexed(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """The rows with their place in the order of by: parts by ranges are sorted and numbered each, and begin where the ones before end.
 
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])), schema)
+    The parts are written to the shared folder, so that a place, once given, stays; their sizes, a row for each, reach the driver.
+    """
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    parts = settle(ranged.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))), "indexed")
+    sizes = {r["_part"]: r.n for r in parts.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    firsts = dict(zip(sorted(sizes), accumulate([0, *(sizes[k] for k in sorted(sizes))]), strict=False))
+    first = F.element_at(F.create_map(*(F.lit(x).cast("bigint") for k in firsts.items() for x in k)), F.col("_part")) if firsts else F.lit(0)
+    return parts.withColumn(name, (first + F.col("_at")).cast("bigint")).drop("_part", "_at")
 
 
 def either(columns: list[Column]) -> Column:

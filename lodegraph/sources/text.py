@@ -16,40 +16,60 @@ from lodegraph.sources.shared import reachable
 INTERACTION = "has_interact"
 
 
+#: Numbers as nearly all files write them; other spellings that Python reads are read by it.
+PLAIN_WHOLE = r"^[+-]?[0-9]{1,18}$"
+PLAIN_NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def _lines(spark: SparkSession, path: str, source: int) -> DataFrame:
-    """(source, line, f: fields) in file order."""
-    rows = spark.sparkContext.textFile(path).zipWithIndex()
-    return spark.createDataFrame(rows, "value string, line bigint").select(F.lit(source).alias("source"), "line", F.split("value", "\t", -1).alias("f"))
+    """(source, line, f: fields); lines compare by their order in the file: by split, then within it."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    line = F.struct("file", "split", F.monotonically_increasing_id().alias("row"))
+    return rows.select(F.lit(source).alias("source"), line.alias("line"), F.split("value", "\t", -1).alias("f"))
 
 
-def _is(parse):
-    def test(values: pd.Series) -> pd.Series:
-        def fits(v):
-            try:
-                parsed = parse(v)
-            except ValueError:
-                return False
-            return not isinstance(parsed, int) or -(1 << 63) <= parsed < 1 << 63
+def _read(parse, value: str):
+    """What parse makes of the text, or None."""
+    try:
+        parsed = parse(value)
+    except ValueError:
+        return None
+    return None if isinstance(parsed, int) and not -(1 << 63) <= parsed < 1 << 63 else parsed
 
-        return values.map(lambda v: v is None or fits(v)).astype(bool)
 
-    return F.pandas_udf(test, "boolean")
+def _by_python(parse):
+    """Values in spellings that only Python reads, in one that Spark reads too; plain ones are handed over as nulls."""
 
+    def read(values: pd.Series) -> pd.Series:
+        parsed = [None if v is None else _read(parse, v) for v in values]
+        return pd.Series([None if v is None else str(v) for v in parsed], dtype=object)
 
-def _parsed(parse, kind):
-    return F.pandas_udf(lambda values: values.map(lambda v: None if v is None else parse(v)).astype("Int64" if kind == "bigint" else "Float64"), kind)
+    return F.pandas_udf(read, "string")
 
 
 def _typed(df: DataFrame, names: list[str]) -> DataFrame:
-    """Each text column as the narrowest of whole numbers, numbers and text that parses all its values (numbers beyond 64 bits stay text)."""
-    checks = [f(_is(parse)(F.col(f"`{n}`"))).alias(f"{k}{i}") for i, n in enumerate(names) for k, parse, f in (("i", int, F.bool_and), ("f", float, F.bool_and))]
-    found = df.agg(*checks).first() if names else {}
+    """Each text column as the narrowest of whole numbers, numbers and text that reads all its values (whole numbers beyond 64 bits are numbers).
+
+    One aggregate counts odd spellings; only a column that has some goes through Python, and only with those.
+    """
+    if not names:
+        return df
+    ways = ((PLAIN_WHOLE, int, "bigint"), (PLAIN_NUMBER, float, "double"))
+    counts = [F.count_if(~F.col(f"`{n}`").rlike(pattern)).alias(f"c{i}_{k}") for i, n in enumerate(names) for k, (pattern, _, _) in enumerate(ways)]
+    odd, made = df.agg(*counts).first(), {}
     for i, n in enumerate(names):
-        if found[f"i{i}"] is not False:
-            df = df.withColumn(n, _parsed(int, "bigint")(F.col(f"`{n}`")))
-        elif found[f"f{i}"] is not False:
-            df = df.withColumn(n, _parsed(float, "double")(F.col(f"`{n}`")))
-    return df
+        column = F.col(f"`{n}`")
+        for k, (pattern, parse, kind) in enumerate(ways):
+            plain = F.when(column.rlike(pattern), column.try_cast(kind))
+            if not odd[f"c{i}_{k}"]:
+                made[n] = plain
+                break
+            by_python = _by_python(parse)(F.when(~column.rlike(pattern), column)).try_cast(kind)
+            # A few odd values that all read are a column's empty cells or other spellings; one that doesn't settles it.
+            if df.where(column.isNotNull() & ~column.rlike(pattern)).where(by_python.isNull()).isEmpty():
+                made[n] = F.coalesce(plain, by_python)
+                break
+    return df.withColumns(made)
 
 
 def from_files(spark: SparkSession, kg: str | None = None, ui: str | None = None, attrs: list[str] = (), sf: tuple[float, float] | None = None, labels: dict[str, str] | None = None) -> Graph:
@@ -80,10 +100,11 @@ def from_files(spark: SparkSession, kg: str | None = None, ui: str | None = None
     for k, path in enumerate(attrs):
         type_ = path.rsplit(".", 1)[1]
         rows = _lines(spark, path, 2 + k)
-        header = rows.where("line = 0").first().f
-        names = header[1:]
+        top = rows.orderBy("line").first()
+        names = top.f[1:]
         cells = [F.when(F.get("f", F.lit(i + 1)) != "", F.get("f", F.lit(i + 1))).alias(n) for i, n in enumerate(names)]
-        rows = rows.where("line > 0").where(F.col("f")[0] != "")
+        first_line = F.struct(*(F.lit(v).alias(k) for k, v in top.line.asDict().items()))
+        rows = rows.where(F.col("line") > first_line).where(F.col("f")[0] != "")
         keys.append(rows.select("source", "line", F.lit(0).alias("part"), F.concat(F.lit(f"{type_}."), F.col("f")[0]).alias("key")))
         last = rows.select(F.col("f")[0].alias("raw"), F.struct("line", *cells).alias("row")).groupBy("raw").agg(F.max_by("row", "row.line").alias("row"))
         table = last.select("raw", *(F.col(f"row.`{n}`").alias(n) for n in names))
@@ -98,7 +119,7 @@ def from_files(spark: SparkSession, kg: str | None = None, ui: str | None = None
     types = [r.type for r in first.groupBy("type").agg(F.min("at").alias("at")).orderBy("at").collect()]
     nodes, tables = None, {}
     for i, type_ in enumerate(types):
-        block = indexed(first.where(F.col("type") == type_).sort("at").select("key", "raw"), "place")
+        block = indexed(first.where(F.col("type") == type_).select("at", "key", "raw"), ["at"], "place")
         block = block.select((F.lit(i << TYPE_SHIFT) + F.col("place")).alias("nid"), "key", "raw").cache()
         nodes = block if nodes is None else nodes.unionByName(block)
         table = block.select("nid", F.col("raw").alias("id"), "raw")
