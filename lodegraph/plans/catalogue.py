@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph import (
-    Alphabetical, Connectivity, DiffusedMatrixFactorization, Edge, EdgeTable, Graph, Greedy, Has, Like, MatrixFactorization, Node, NodeTable, PageRank, Path, Score,
+    Alphabetical, Compare, Connectivity, DiffusedMatrixFactorization, Edge, EdgeTable, Graph, Greedy, Has, Like, MatrixFactorization, Node, NodeTable, PageRank, Path, Score, from_files,
 )
+from lodegraph.sources.shared import shared_folder
 
 QUERIES: dict[str, Callable[[Graph], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,7 +35,7 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
         EdgeTable("supplies", t["lineitem"], ("supplier", "l_suppkey"), ("part", "l_partkey")), EdgeTable("has_brand", t["part"], ("part", "p_partkey"), ("brand", "p_brand")), EdgeTable("has_interact", events, ("customer", "user_id"), ("item", "item")),
         EdgeTable("in_lang", t["documents"], ("doc", "doc_id"), ("lang", "lang")), EdgeTable("from_source", t["documents"], ("doc", "doc_id"), ("source", "source")),
     ]
-    return Graph.from_tables(nodes, edges)
+    return Graph.from_tables(nodes, edges, related=True)
 
 
 def query(sql: str | None = None):
@@ -180,38 +182,20 @@ def diamond_join(g):
     return table(g.select(a.id, b.id).where(a.in_nation == n, b.in_nation == n, a.s_acctbal > 8000, b.c_acctbal > 9000), "a", "b")
 
 
-@query("SELECT c_custkey AS c, n_nationkey::BIGINT AS n FROM customer CROSS JOIN nation WHERE c_custkey < 10 AND c_nationkey <> n_nationkey")
-def anti_join(g):
-    c, n = Node("customer"), Node("nation")
-    return table(g.select(c.id, n.id).where(c.id < 10, ~Has(c, "in_nation", n)), "c", "n")
-
-
 @query("SELECT c_custkey AS c, n_nationkey::BIGINT AS n FROM customer CROSS JOIN nation WHERE c_nationkey <> n_nationkey")
-def anti_join_whole(g):
+def anti_join(g):
     c, n = Node("customer"), Node("nation")
     return table(g.select(c.id, n.id).where(~Has(c, "in_nation", n)), "c", "n")
 
 
-@query("SELECT DISTINCT s_suppkey AS s FROM supplier CROSS JOIN nation WHERE n_nationkey < 2 AND s_nationkey <> n_nationkey")
-def anti_join_hidden(g):
-    s, n = Node("supplier"), Node("nation")
-    return table(g.select(s.id).where(n.id < 2, ~Has(s, "in_nation", n)), "s")
-
-
 @query("SELECT DISTINCT s_suppkey AS s FROM supplier CROSS JOIN nation WHERE s_nationkey <> n_nationkey")
-def anti_join_hidden_whole(g):
+def anti_join_hidden(g):
     s, n = Node("supplier"), Node("nation")
     return table(g.select(s.id).where(~Has(s, "in_nation", n)), "s")
 
 
-@query("SELECT o_orderkey AS o, p_partkey AS p FROM orders CROSS JOIN part WHERE o_orderkey < 20 AND p_partkey < 50 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_partkey = p_partkey)")
-def anti_multi_rel(g):
-    o, p = Node("order"), Node("part")
-    return table(g.select(o.id, p.id).where(o.id < 20, p.id < 50, ~Has(o, ("contains", "nothing"), p)), "o", "p")
-
-
 @query("SELECT p_partkey AS p, b.p_brand AS b FROM part CROSS JOIN (SELECT DISTINCT p_brand FROM part) b WHERE part.p_brand <> b.p_brand")
-def anti_multi_rel_whole(g):
+def anti_multi_rel(g):
     """Parts and brands, for all orders and all parts are too many pairs to be a result."""
     p, b = Node("part"), Node("brand")
     return table(g.select(p.id, b.id).where(~Has(p, ("has_brand", "nothing"), b)), "p", "b")
@@ -322,46 +306,98 @@ def connectivity_2hop(g):
     return df.select(value.alias("n"), F.col("seeds").cast("bigint").alias("seeds"))
 
 
-def _ranked(g, seeds):
-    small = Graph(g.spark, g.types, ["in_nation", "in_region"], g.tables, {k: g.parts[k] for k in ("in_nation", "in_region")})
-    small.types, small.tables = g.types[:4], {t: g.tables[t] for t in g.types[:4]}
-    signal = PageRank(to=seeds, iterations=5, tol=0)
-    signal.fit(small)
-    place, block = F.col("nid").bitwiseAND(F.lit((1 << 48) - 1)), F.shiftright("nid", 48)
-    return signal.ranks.where(block == 1).select(place.alias("n"), F.round("r", 9).alias("rank"))
+#: The star graph for SQL: nodes by key, and edges both ways with their multiplicity.
+_STAR = """v AS (
+  SELECT 'region.' || r_regionkey AS k FROM region UNION ALL SELECT 'nation.' || n_nationkey FROM nation UNION ALL SELECT 'customer.' || c_custkey FROM customer
+  UNION ALL SELECT 'supplier.' || s_suppkey FROM supplier UNION ALL SELECT 'part.' || p_partkey FROM part UNION ALL SELECT 'order.' || o_orderkey FROM orders
+  UNION ALL SELECT DISTINCT 'brand.' || p_brand FROM part UNION ALL SELECT DISTINCT 'item.' || json_extract_string(props, '$.k') FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL
+  UNION ALL SELECT 'doc.' || doc_id FROM documents UNION ALL SELECT DISTINCT 'lang.' || lang FROM documents WHERE lang IS NOT NULL UNION ALL SELECT DISTINCT 'source.' || source FROM documents WHERE source IS NOT NULL),
+e AS (
+  SELECT 'nation.' || n_nationkey AS s, 'region.' || n_regionkey AS d FROM nation UNION ALL SELECT 'customer.' || c_custkey, 'nation.' || c_nationkey FROM customer
+  UNION ALL SELECT 'supplier.' || s_suppkey, 'nation.' || s_nationkey FROM supplier UNION ALL SELECT 'order.' || o_orderkey, 'customer.' || o_custkey FROM orders
+  UNION ALL SELECT 'order.' || l_orderkey, 'part.' || l_partkey FROM lineitem UNION ALL SELECT 'order.' || l_orderkey, 'supplier.' || l_suppkey FROM lineitem
+  UNION ALL SELECT 'supplier.' || l_suppkey, 'part.' || l_partkey FROM lineitem UNION ALL SELECT 'part.' || p_partkey, 'brand.' || p_brand FROM part
+  UNION ALL SELECT 'customer.' || user_id, 'item.' || json_extract_string(props, '$.k') FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL
+  UNION ALL SELECT 'doc.' || doc_id, 'lang.' || lang FROM documents WHERE lang IS NOT NULL UNION ALL SELECT 'doc.' || doc_id, 'source.' || source FROM documents WHERE source IS NOT NULL)"""
+_WALK = """WITH {graph},
+u AS (SELECT s, d FROM e UNION ALL SELECT d, s FROM e), outs AS (SELECT s, count(*)::DOUBLE AS n FROM u GROUP BY s),
+w AS MATERIALIZED (SELECT u.s, u.d, count(*) / any_value(n) AS w FROM u JOIN outs ON outs.s = u.s GROUP BY u.s, u.d),
+t AS MATERIALIZED (SELECT k, {restart} AS t, outs.s IS NULL AS stuck FROM v LEFT JOIN outs ON outs.s = k),
+r0 AS (SELECT k, t AS r FROM t), {steps}"""
+_STEPS = ", ".join(
+    f"r{i + 1} AS MATERIALIZED (SELECT t.k, (0.15::DOUBLE + 0.85 * coalesce((SELECT sum(r) FROM r{i} JOIN t USING (k) WHERE stuck), 0)) * t.t + 0.85 * coalesce(f.x, 0) AS r"
+    f" FROM t LEFT JOIN (SELECT d, sum(r * w) AS x FROM w JOIN r{i} ON s = k GROUP BY d) f ON f.d = t.k)"
+    for i in range(5)
+)
 
 
-_WALK = """WITH RECURSIVE v AS (SELECT 'r' || r_regionkey AS k FROM region UNION ALL SELECT 'n' || n_nationkey FROM nation UNION ALL SELECT 'c' || c_custkey FROM customer UNION ALL SELECT 's' || s_suppkey FROM supplier),
-e AS (SELECT 'c' || c_custkey AS s, 'n' || c_nationkey AS d FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
-u AS (SELECT s, d FROM e UNION ALL SELECT d, s FROM e), w AS (SELECT s, d, 1.0::DOUBLE / (SELECT count(*) FROM u o WHERE o.s = u.s) AS w FROM u),
-t AS (SELECT k, {restart} AS t, NOT EXISTS (SELECT 1 FROM u WHERE s = k) AS stuck FROM v),
-r0 AS (SELECT k, t AS r FROM t), {steps}
-SELECT substr(k, 2)::BIGINT AS n, round(r, 9) AS rank FROM r5 WHERE k LIKE 'n%'"""
-_STEPS = ", ".join(f"r{i + 1} AS (SELECT t.k, (0.15::DOUBLE + 0.85 * coalesce((SELECT sum(r) FROM r{i} JOIN t USING (k) WHERE stuck), 0)) * t.t + 0.85 * coalesce(f.x, 0) AS r FROM t LEFT JOIN (SELECT d, sum(r * w) AS x FROM w JOIN r{i} ON s = k GROUP BY d) f ON f.d = t.k)" for i in range(5))
+def _ranked(g, seeds):
+    """Ranks of all nodes, by key."""
+    from lodegraph.plans.query import Context
 
+    x, signal = Node(), PageRank(to=seeds, iterations=5, tol=0)
+    signal.fit(g)
+    q = g.select(x)
+    df, key = q._key(signal.score(Context(q), q.bindings(), "r"), F.col(q.columns()[0]), None, "key")
+    return df.select(key.alias("k"), F.round("r", 12).alias("rank"))
 
-@query(_WALK.format(restart="1.0::DOUBLE / (SELECT count(*) FROM v)", steps=_STEPS))
+
+@query(_WALK.format(graph=_STAR, restart="1.0::DOUBLE / (SELECT count(*) FROM v)", steps=_STEPS) + " SELECT k, round(r, 12) AS rank FROM r5")
 def pagerank_global(g):
     return _ranked(g, None)
 
 
-@query(_WALK.format(restart="CASE WHEN k IN ('n3', 'n4') THEN 0.5::DOUBLE ELSE 0.0 END", steps=_STEPS))
+@query(_WALK.format(graph=_STAR, restart="CASE WHEN k IN ('nation.3', 'nation.4') THEN 0.5::DOUBLE ELSE 0.0 END", steps=_STEPS) + " SELECT k, round(r, 12) AS rank FROM r5")
 def pagerank_rwr(g):
     return _ranked(g, [("nation", 3), ("nation", 4), ("nation", 999)])
 
 
-@query()
+def _factors(rounds: int) -> str:
+    """Two factors by alternating least squares, in closed form: u<rounds>(k, x, y) and i<rounds>."""
+    at = "(7::BIGINT * 281474976710656 + k)"
+    draw = "0.1 * sqrt(-2 * ln({0})) * cos({1})"
+
+    def uniform(j: int, part: int) -> str:
+        return f"((('0x' || substr(md5('42|{j}|' || {at}), {part}, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+
+    start = ", ".join(draw.format(uniform(j, 1), f"2 * pi() * {uniform(j, 17)}") + f" AS {c}" for j, c in enumerate("xy"))
+    out = ["p AS MATERIALIZED (SELECT DISTINCT user_id AS u, json_extract_string(props, '$.k')::BIGINT AS i FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL)", f"i0 AS (SELECT k, {start} FROM (SELECT DISTINCT i AS k FROM p))"]
+    for n in range(1, rounds + 1):
+        for near, far, known, name in (("u", "i", f"i{n - 1}", f"u{n}"), ("i", "u", f"u{n}", f"i{n}")):
+            sums = f"(SELECT p.{near} AS k, sum(x * x) + 0.05 AS a, sum(x * y) AS b, sum(y * y) + 0.05 AS c, sum(x) AS p, sum(y) AS q FROM p JOIN {known} f ON f.k = p.{far} GROUP BY p.{near})"
+            out.append(f"{name} AS MATERIALIZED (SELECT k, (c * p - b * q) / (a * c - b * b) AS x, (a * q - b * p) / (a * c - b * b) AS y FROM {sums})")
+    return ", ".join(out)
+
+
+@query(
+    f"WITH {_factors(3)}, s AS (SELECT p.u AS c, p.i, a.x * b.x + a.y * b.y AS s FROM p JOIN u3 a ON a.k = p.u JOIN i3 b ON b.k = p.i), "
+    "z AS (SELECT c, i, CASE WHEN max(s) OVER g > min(s) OVER g THEN (s - min(s) OVER g) / (max(s) OVER g - min(s) OVER g) ELSE 0 END AS score FROM s WINDOW g AS (PARTITION BY c)) "
+    "SELECT c, i, round(score, 6) AS score FROM z QUALIFY row_number() OVER (PARTITION BY c ORDER BY score DESC, i) <= 3"
+)
 def mf_user_topk(g):
     c, i = Node("customer"), Node("item")
-    mf = MatrixFactorization(factors=4, iterations=3, item_type="item", user_type="customer")
-    return table(g.select(c.id, i.id, Score()).where(Has(c, "has_interact", i)).groupby(c).rank(mf).top(3), "c", "i", "score")
+    mf = MatrixFactorization(factors=2, iterations=3, item_type="item", user_type="customer")
+    return table(g.select(c.id, i.id, Score()).where(Has(c, "has_interact", i)).groupby(c).rank(mf).top(3), "c", "i", "score").withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(
+    f"WITH {_factors(3)}, seeds AS (SELECT x, y FROM u3 WHERE k = 3 UNION ALL SELECT x, y FROM i3 WHERE k = 5), s AS (SELECT k, max(i3.x * seeds.x + i3.y * seeds.y) AS s FROM i3, seeds GROUP BY k), "
+    "z AS (SELECT k AS i, (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) AS score FROM s) SELECT i, round(score, 6) AS score FROM z ORDER BY z.score DESC, i LIMIT 10"
+)
 def diffused_mf(g):
     i = Node("item")
-    mf = DiffusedMatrixFactorization(factors=4, iterations=3, item_type="item", user_type="customer", to=[("customer", 3), ("item", 5)])
-    return table(g.select(i.id, Score()).rank(mf).top(10), "i", "score")
+    mf = DiffusedMatrixFactorization(factors=2, iterations=3, item_type="item", user_type="customer", to=[("customer", 3), ("item", 5)])
+    return table(g.select(i.id, Score()).rank(mf).top(10), "i", "score").withColumn("score", F.round("score", 6))
+
+
+@query(
+    f"WITH {_factors(3)}, seen AS (SELECT DISTINCT p.i FROM p JOIN customer ON c_custkey = p.u WHERE c_acctbal > 5000), first AS (SELECT min(p.u) AS u FROM p JOIN customer ON c_custkey = p.u WHERE c_acctbal > 5000), "
+    "s AS (SELECT seen.i, f.x * a.x + f.y * a.y AS s FROM seen JOIN i3 f ON f.k = seen.i, first JOIN u3 a ON a.k = first.u) SELECT i, round((s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()), 6) AS score FROM s"
+)
+def mf_matched_user(g):
+    c, i = Node("customer"), Node("item")
+    mf = MatrixFactorization(factors=2, iterations=3, item_type="item", user_type="customer")
+    return table(g.select(i.id, Score()).where(Has(c, "has_interact", i), c.c_acctbal > 5000).rank(mf), "i", "score").withColumn("score", F.round("score", 6))
 
 
 @query("SELECT a.vec_id AS v, round(-sqrt(list_sum(list_transform(generate_series(1, 64), lambda i: (s.embedding[i]::DOUBLE + 0.01 - a.embedding[i]::DOUBLE) ^ 2))), 6) AS p FROM embeddings a, embeddings s WHERE s.vec_id = 0")
@@ -388,42 +424,155 @@ class _ByDegree(PageRank):
         self.ranks = graph.degrees("contains", True).select("nid", F.col("degree").cast("double"))
 
 
-@query("WITH d AS (SELECT l_partkey AS p, count(*) AS n FROM lineitem GROUP BY l_partkey), k AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_orderkey < 200) SELECT o, p FROM (SELECT o, p, row_number() OVER (PARTITION BY o ORDER BY n DESC, p) AS r FROM k JOIN d USING (p)) WHERE r <= 2")
-def greedy_beam_degree(g):
-    o, p = Node("order"), Node("part")
-    return table(g.select(o.id, p.id).where(Has(o, "contains", p), o.id < 200).rank(_ByDegree()).using(Greedy(k=2)), "o", "p")
-
-
 @query("WITH d AS (SELECT l_partkey AS p, count(*) AS n FROM lineitem GROUP BY l_partkey), k AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem) SELECT o, p FROM (SELECT o, p, row_number() OVER (PARTITION BY o ORDER BY n DESC, p) AS r FROM k JOIN d USING (p)) WHERE r <= 2")
-def greedy_beam_degree_whole(g):
+def greedy_beam_degree(g):
     o, p = Node("order"), Node("part")
     return table(g.select(o.id, p.id).where(Has(o, "contains", p)).rank(_ByDegree()).using(Greedy(k=2)), "o", "p")
 
 
 @query("SELECT DISTINCT user_id AS c, json_extract_string(props, '$.k')::BIGINT AS i FROM events WHERE value BETWEEN 50 AND 100 AND json_extract_string(props, '$.k') IS NOT NULL")
 def interactions_rating_filter(g):
-    rated = Graph(g.spark, g.types, ["has_interact"], g.tables, {"has_interact": [(a, b, df) for a, b, df in g.memo["rated"]]})
+    rated = g.only(["has_interact"])
+    rated.parts = {"has_interact": g.memo["rated"]}
     c, i = Node("customer"), Node("item")
     return table(rated.select(c.id, i.id).where(c.has_interact == i), "c", "i")
 
 
-@query()
+_SHOP = """v AS (
+  SELECT 'region.' || r_regionkey AS k FROM region UNION ALL SELECT 'nation.' || n_nationkey FROM nation UNION ALL SELECT 'customer.' || c_custkey FROM customer
+  UNION ALL SELECT 'supplier.' || s_suppkey FROM supplier UNION ALL SELECT 'part.' || p_partkey FROM part UNION ALL SELECT 'order.' || o_orderkey FROM orders
+  UNION ALL SELECT DISTINCT 'brand.' || p_brand FROM part UNION ALL SELECT DISTINCT 'item.' || json_extract_string(props, '$.k') FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL
+  UNION ALL SELECT 'doc.' || doc_id FROM documents UNION ALL SELECT DISTINCT 'lang.' || lang FROM documents WHERE lang IS NOT NULL UNION ALL SELECT DISTINCT 'source.' || source FROM documents WHERE source IS NOT NULL),
+e AS (SELECT 'order.' || o_orderkey AS s, 'customer.' || o_custkey AS d FROM orders UNION ALL SELECT 'order.' || l_orderkey, 'part.' || l_partkey FROM lineitem),
+seeds AS (SELECT 'customer.' || c_custkey AS seed FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3'),
+bought AS (SELECT DISTINCT l_partkey AS p, 'customer.' || o_custkey AS seed FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE 'customer.' || o_custkey IN (SELECT seed FROM seeds))"""
+
+
+@query(
+    _WALK.format(graph=_SHOP, restart="CASE WHEN k IN (SELECT seed FROM seeds) THEN 1.0::DOUBLE / (SELECT count(*) FROM seeds) ELSE 0.0 END", steps=_STEPS)
+    + ", raw AS (SELECT p, any_value(r) AS r, count(*)::DOUBLE AS n FROM bought JOIN r5 ON k = 'part.' || p GROUP BY p), "
+    "z AS (SELECT p, ((r - min(r) OVER ()) / (max(r) OVER () - min(r) OVER ()) + CASE WHEN max(n) OVER () > min(n) OVER () THEN (n - min(n) OVER ()) / (max(n) OVER () - min(n) OVER ()) ELSE 0 END) / 2 AS score FROM raw) "
+    "SELECT p, p_name AS name, round(score, 9) AS score FROM z JOIN part ON p_partkey = p ORDER BY z.score DESC, p LIMIT 10"
+)
 def flagship(g):
     """Parts that customers of one nation bought, by restarting walks from those customers and by how many of them reach a part."""
     seed, n = Node("customer"), Node("nation")
     seeds = g.select(seed).where(seed.in_nation == n, n.label == "NATION_3")
     part, order, buyer, path = Node("part"), Node("order"), Node("customer"), Path()
     walk = path == [part, Edge("contains").inverse, order, Edge("placed_by"), buyer]
-    shop = Graph(g.spark, g.types, ["placed_by", "contains"], g.tables, {k: g.parts[k] for k in ("placed_by", "contains")})
+    shop = g.only(["placed_by", "contains"])
     q = shop.select(part.id, part.label, Score()).where(walk, buyer.is_in(seeds)).rank(PageRank(to=seeds, iterations=5, tol=0), Connectivity(to=seeds)).top(10)
-    return q.to_df("p", "name", "score")
+    return q.to_df("p", "name", "score").withColumn("score", F.round("score", 9))
+
+
+@query("SELECT o_orderkey AS o, n_name AS name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 300000")
+def path_position_attribute(g):
+    o, c, n, p = Node("order"), Node("customer"), Node("nation"), Path()
+    return table(g.select(o.id, p.last.n_name).where(p == [o, Edge("placed_by"), c, Edge("in_nation"), n], o.o_totalprice > 300000), "o", "name")
+
+
+@query("SELECT p_partkey AS p FROM part WHERE contains(lower(p_name), 're') OR contains(lower(p_name), 'bol')")
+def attr_contains_any(g):
+    p = Node("part")
+    return table(g.select(p.id).where(Compare(p.label, "contains_any", ["RE", "bol"])), "p")
+
+
+@query("SELECT p_partkey AS p FROM part WHERE contains(p_size::VARCHAR, '1') OR contains(p_size::VARCHAR, '7')")
+def like_number_set(g):
+    p = Node("part")
+    return table(g.select(p.id).where(Like(p.p_size.is_in([1, 7]))), "p")
+
+
+_FADE = "exp(-0.5 * ({0} / 20) ^ 2)"
+_SPREAD = "round(CASE WHEN max(m) OVER () > min(m) OVER () THEN (m - min(m) OVER ()) / (max(m) OVER () - min(m) OVER ()) ELSE 0 END, 9) AS score"
+
+
+@query(f"WITH k AS (SELECT p_partkey AS p, CASE WHEN p_retailprice >= 1000 THEN 1.0 ELSE {_FADE.format('(1000 - p_retailprice)')} END AS m FROM part WHERE p_retailprice >= 940) SELECT p, {_SPREAD} FROM k")
+def like_at_least(g):
+    p = Node("part")
+    return table(g.select(p.id, Score()).where(Like(p.p_retailprice >= 1000, t=20)), "p", "score").withColumn("score", F.round("score", 9))
+
+
+@query(f"WITH k AS (SELECT p_partkey AS p, CASE WHEN p_retailprice <= 950 THEN 1.0 ELSE {_FADE.format('(p_retailprice - 950)')} END AS m FROM part) SELECT p, {_SPREAD} FROM k")
+def like_in_rank(g):
+    p = Node("part")
+    return table(g.select(p.id, Score()).rank(Like(p.p_retailprice <= 950, t=20)), "p", "score").withColumn("score", F.round("score", 9))
+
+
+@query("SELECT p_partkey AS p, 0.0::DOUBLE AS score FROM part WHERE contains(lower(p_name), 'bolt')")
+def like_contains(g):
+    p = Node("part")
+    return table(g.select(p.id, Score()).where(Like(p.label.contains("BOLT"))), "p", "score")
+
+
+@query("SELECT c_custkey AS c, 0.0::DOUBLE AS score FROM customer")
+def like_of_a_text_column(g):
+    c = Node("customer")
+    return table(g.select(c.id, Score()).rank(Like(c.c_name <= 5)), "c", "score")
+
+
+@query("SELECT p_partkey AS p FROM part WHERE p_size = 25")
+def like_without_width(g):
+    p = Node("part")
+    return table(g.select(p.id).where(Like(p.p_size == 25, width=0)), "p")
+
+
+@query("SELECT 'customer.' || c_custkey AS k FROM customer WHERE c_nationkey = 7 UNION SELECT 'supplier.' || s_suppkey FROM supplier WHERE s_nationkey = 7")
+def reversed_wildcard(g):
+    n, x, p = Node("nation"), Node(), Path()
+    return table(g.select(x).where(p == [n, Edge().inverse, x], n.n_name == "NATION_7"), "k")
+
+
+@query("SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem")
+def several_relations(g):
+    o, p = Node("order"), Node("part")
+    return table(g.select(o.id, p.id).where(Has(o, ("contains", "nothing"), p)), "o", "p")
+
+
+@query("SELECT row_number() OVER (ORDER BY n DESC, p) - 1 AS position, p, n FROM (SELECT p_partkey AS p, count(l_partkey)::BIGINT AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey) ORDER BY n DESC, p LIMIT 50")
+def ranked_order(g):
+    """Rows with their position in the result: order counts."""
+    p = Node("part")
+    rows = g.select(p.id, p.contains.inverse.count()).rank(p.contains.inverse.count()).top(50).to_df("p", "n")
+    return rows.coalesce(1).select(F.monotonically_increasing_id().alias("position"), "p", "n")
+
+
+@query("SELECT n, c, round(CASE WHEN max(a) OVER g > min(a) OVER g THEN (a - min(a) OVER g) / (max(a) OVER g - min(a) OVER g) ELSE 0 END, 9) AS score FROM (SELECT n_nationkey::BIGINT AS n, c_custkey AS c, c_acctbal AS a FROM customer JOIN nation ON c_nationkey = n_nationkey) WINDOW g AS (PARTITION BY n)")
+def group_scores(g):
+    n, c = Node("nation"), Node("customer")
+    return table(g.select(n.id, c.id, Score()).where(c.in_nation == n).groupby(n).rank(c.c_acctbal), "n", "c", "score").withColumn("score", F.round("score", 9))
+
+
+@query("SELECT n_nationkey::BIGINT AS n, min(c_custkey) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey ORDER BY n_nationkey LIMIT 6")
+def group_first_without_rank(g):
+    """Groups that nothing ranks come by their first row, and so do their rows."""
+    n, c = Node("nation"), Node("customer")
+    return table(g.select(n.id, c.id).where(c.in_nation == n).groupby(n).top(1).top(6), "n", "c")
+
+
+@query("SELECT c_custkey AS c, n_name AS name, count(e.user_id)::BIGINT AS n FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT user_id FROM events WHERE value BETWEEN 50 AND 100 AND json_extract_string(props, '$.k') IS NOT NULL) e ON e.user_id = c_custkey GROUP BY c_custkey, n_name")
+def graph_from_files(g):
+    """Triples, rated interactions and an attribute table, written as text and read as a graph."""
+    folder = f"{shared_folder(g.spark)}/text-{uuid.uuid4().hex}"
+    line = lambda *cols: F.concat_ws("\t", *(c.cast("string") for c in cols))
+    named = lambda type_, c: F.concat(F.lit(f"{type_}."), F.col(c).cast("string"))
+    t = g.memo["files"]
+    t["customer"].select(line(named("customer", "c_custkey"), F.lit("in_nation"), named("nation", "c_nationkey"))).write.text(f"{folder}/kg")
+    t["events"].where("item is not null").select(line(named("customer", "user_id"), named("item", "item"), F.col("value"))).write.text(f"{folder}/ui")
+    header = g.spark.range(1).select(F.lit("id\tn_name").alias("l"), F.lit(-1).alias("o"))
+    t["nation"].select(line(F.col("n_nationkey"), F.col("n_name")).alias("l"), F.col("n_nationkey").alias("o")).unionByName(header).coalesce(1).sortWithinPartitions("o").select("l").write.text(f"{folder}/x.nation")  # 25 rows
+    read = from_files(g.spark, f"{folder}/kg", f"{folder}/ui", [f"{folder}/x.nation"], sf=(50, 100))
+    c, n = Node("customer"), Node("nation")
+    return table(read.select(c.id, n.n_name, c.has_interact.count()).where(c.in_nation == n), "c", "name", "n")
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     g = star_graph(spark, sf_dir)
     g.memo["embeddings"] = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("value").between(50, 100)).withColumn("item", F.get_json_object("props", "$.k").cast("bigint"))
-    g.memo["rated"] = Graph.from_tables([NodeTable(t, spark.range(0), "id") for t in g.types], [EdgeTable("has_interact", events, ("customer", "user_id"), ("item", "item"))]).parts["has_interact"]
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("item", F.get_json_object("props", "$.k").cast("bigint"))
+    rated = EdgeTable("has_interact", events.where(F.col("value").between(50, 100)), ("customer", "user_id"), ("item", "item"))
+    g.memo["rated"] = Graph.from_tables([NodeTable(t, spark.range(0), "id") for t in g.types], [rated], related=True).parts["has_interact"]
+    g.memo["files"] = {"events": events, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("customer", "nation")}}
     return QUERIES[name](g)
 
 
