@@ -1,4 +1,4 @@
-"""One local session, and a small graph read from files: three films, two people, two genres, three users."""
+"""One local session, and the graph of harbour.py read from files."""
 
 import os
 import sys
@@ -8,24 +8,18 @@ import pytest
 
 ROOT = str(Path(__file__).resolve().parents[1])
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
-sys.path.insert(0, ROOT)
-
-FILES = {
-    "g.kg": ["movie.1\tdirected_by\tperson.1", "movie.2\tdirected_by\tperson.1", "movie.3\tdirected_by\tperson.2", "movie.1\thas_genre\tgenre.1", "movie.2\thas_genre\tgenre.1", "movie.3\thas_genre\tgenre.2", "short\tline"],
-    "g.ui": ["user.1\tmovie.1\t5", "user.1\tmovie.2\t3", "user.2\tmovie.2\t4", "user.2\tmovie.3\t5", "user.3\tmovie.1\t2", "user.3\tmovie.3\t4"],
-    "g.movie": ["id\ttitle\tyear", "1\tAlpha\t1994", "2\tBeta\t1994", "3\tGamma\t1999"],
-    "g.person": ["id\tname", "1\tXavier Director", "2\tYara Director"],
-    "g.genre": ["id\tname", "1\tComedy", "2\tDrama"],
-}
-
+sys.path[:0] = [ROOT, str(Path(__file__).resolve().parent)]
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     session = (
-        SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse"))).getOrCreate()
+        SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+        .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse"))).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
@@ -34,6 +28,8 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def folder(tmp_path_factory):
+    from harbour import FILES
+
     path = tmp_path_factory.mktemp("graph")
     for name, lines in FILES.items():
         (path / name).write_text("\n".join(lines) + "\n")
@@ -44,4 +40,4 @@ def folder(tmp_path_factory):
 def graph(spark, folder):
     from lodegraph import from_files
 
-    return from_files(spark, str(folder / "g.kg"), str(folder / "g.ui"), [str(folder / f"g.{t}") for t in ("movie", "person", "genre")])
+    return from_files(spark, str(folder / "h.kg"), str(folder / "h.ui"), [str(folder / "h.ship"), str(folder / "h.port")])

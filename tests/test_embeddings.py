@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from harbour import CREWS, FIRMS, PORTS, SAILORS, SHIPS, TRIPLES
 
 import lodegraph
 from lodegraph import Edge, Greedy, Has, Node, Path, Score
@@ -35,7 +36,7 @@ def test_gradients_are_those_of_finite_differences(kind):
 def test_training_learns_and_records_itself(graph):
     seen = []
     model = train(TransE(factors=8), graph, epochs=30, lr=0.05, report=lambda e, loss: seen.append(loss))
-    assert seen[-1] < seen[0] and model.meta["graph_edges"] == 12 and model.meta["graph_nodes"] == 10
+    assert seen[-1] < seen[0] and model.meta["graph_edges"] == len(TRIPLES) + len(CREWS) and model.meta["graph_nodes"] == len(SHIPS) + len(PORTS) + len(FIRMS) + len(SAILORS)
     with pytest.raises(ValueError, match="no edges"):
         train(TransE(factors=2), lodegraph.Graph(graph.spark, graph.types, [], graph.tables, {}))
     with pytest.raises(ValueError, match="triples"):
@@ -51,39 +52,39 @@ def test_negatives_stay_in_their_type():
 
 def test_scores_equal_numpy(graph, fitted):
     rows = {r.nid: r for r in fitted.nodes.collect()}
-    seed, movie = graph.lookup("person.1"), Node("movie")
+    seed, ship = graph.lookup("firm.Adria"), Node("ship")
     take = lambda n: {t: np.array([rows[n][t]]) for t in fitted.tables[0]}
     rel = {r: {t: np.array(v) for t, v in x.items()} for r, x in fitted.rels.items()}
-    want = {n: float(fitted.plausibility(take(n), rel["directed_by"], take(seed))[0]) for n in rows if graph.type_of(n) == "movie"}
-    ranked = [k.nid for k in graph.select(movie).rank(fitted.seeded({"person.1"}, relation="directed_by", reverse=True))]
+    want = {n: float(fitted.plausibility(take(n), rel["run_by"], take(seed))[0]) for n in rows if graph.type_of(n) == "ship"}
+    ranked = [k.nid for k in graph.select(ship).rank(fitted.seeded({"firm.Adria"}, relation="run_by", reverse=True))]
     assert ranked == sorted(want, key=lambda n: -want[n])
     every = {n: max(float(f[0]) for r in rel.values() for f in (fitted.plausibility(take(seed), r, take(n)), fitted.plausibility(take(n), r, take(seed)))) for n in want}
-    got = dict(graph.select(movie, Score()).rank(fitted.seeded({"person.1"})))
+    got = dict(graph.select(ship, Score()).rank(fitted.seeded({"firm.Adria"})))
     low, high = min(every.values()), max(every.values())
     assert all(s == pytest.approx((every[k.nid] - low) / (high - low)) for k, s in got.items())
-    assert {s for _, s in graph.select(movie, Score()).rank(fitted.seeded({"person.1"}, relation="unknown"))} == {0.0}
-    assert {s for _, s in graph.select(movie, Score()).rank(fitted.seeded(None))} == {0.0}
+    assert {s for _, s in graph.select(ship, Score()).rank(fitted.seeded({"firm.Adria"}, relation="unknown"))} == {0.0}
+    assert {s for _, s in graph.select(ship, Score()).rank(fitted.seeded(None))} == {0.0}
 
 
 def test_paths_and_beams_use_the_model(graph, fitted):
-    movie, person, path, user = Node("movie"), Node("person"), Path(), Node("user")
-    rows = list(graph.select(movie, path, Score()).where(path == [movie, Edge("directed_by"), person]).rank(fitted))
-    assert len(rows) == 3 and rows[0][2] == 1.0
-    assert len(graph.select(user, movie).where(Has(user, "has_interact", movie)).rank(fitted).using(Greedy(k=1))) == 3
+    ship, firm, path, sailor = Node("ship"), Node("firm"), Path(), Node("sailor")
+    rows = list(graph.select(ship, path, Score()).where(path == [ship, Edge("run_by"), firm]).rank(fitted))
+    assert len(rows) == len(SHIPS) and rows[0][2] == 1.0
+    assert len(graph.select(sailor, ship).where(Has(sailor, "has_interact", ship)).rank(fitted).using(Greedy(k=1))) == len(SAILORS)
 
 
 def test_storage_rebinds_by_name(spark, folder, tmp_path, graph, fitted):
     path = fitted.save(str(tmp_path / "model"), graph, note="x")
-    lines = (folder / "g.kg").read_text().strip().split("\n")
-    (tmp_path / "r.kg").write_text("\n".join([*reversed(lines), "movie.9\tnew_rel\tperson.1"]) + "\n")
-    (tmp_path / "r.ui").write_text("\n".join(reversed((folder / "g.ui").read_text().strip().split("\n"))) + "\n")
+    lines = (folder / "h.kg").read_text().strip().split("\n")
+    (tmp_path / "r.kg").write_text("\n".join([*reversed(lines), "ship.s9\tnew_rel\tfirm.Adria"]) + "\n")
+    (tmp_path / "r.ui").write_text("\n".join(reversed((folder / "h.ui").read_text().strip().split("\n"))) + "\n")
     other = from_files(spark, str(tmp_path / "r.kg"), str(tmp_path / "r.ui"))
-    model = type(fitted).load(path, other, to={"person.1"})
-    assert model.missing_nodes == ["movie.9"] and model.missing_relations == ["new_rel"] and model.meta["note"] == "x"
+    model = type(fitted).load(path, other, to={"firm.Adria"})
+    assert model.missing_nodes == ["ship.s9"] and model.missing_relations == ["new_rel"] and model.meta["note"] == "x"
     old, new = {r.nid: r for r in fitted.nodes.collect()}, {r.nid: r for r in model.nodes.collect()}
-    for key in ("movie.1", "person.2", "user.3"):
+    for key in ("ship.s1", "firm.Baltia", "sailor.3"):
         assert np.allclose(old[graph.lookup(key)].vec, new[other.lookup(key)].vec)
-    assert set(new[other.lookup("movie.9")].vec) == {0.0}
+    assert set(new[other.lookup("ship.s9")].vec) == {0.0}
     wrong = TransD if isinstance(fitted, TransE) else TransE
     with pytest.raises(ValueError, match="vectors of"):
         wrong.load(path, graph)
