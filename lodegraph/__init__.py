@@ -9,7 +9,7 @@ from lodegraph.sources.graph import EdgeTable, Graph, Key, NodeTable, Rel
 from lodegraph.sources.text import from_files
 
 #: The embedding models are imported when asked for.
-_LATER = ("TransD", "TransE", "Translational", "train")
+_LATER = ("MODELS", "TransD", "TransE", "Translational", "load", "provenance", "train")
 
 
 def __getattr__(name):

@@ -1,8 +1,9 @@
 """Translational embeddings: TransE and TransD as ranking signals, their training and storage.
 
-Scores are Column expressions over vectors held as DataFrames. Training is numpy on the
-driver, over triples collected there: a fit is bounded by most_triples, and a graph
-with more is refused rather than sampled.
+Scores are Column expressions over vectors held as DataFrames. Up to most_triples, training
+is numpy on the driver. A larger graph is trained in parts: in each epoch all triples are
+dealt anew, each part descends from the vectors of its own nodes in a task, and a
+node's vector is then the mean of what its parts made of it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from lodegraph.operators.signals import _Fitted
 from lodegraph.plans.branch import named_nodes
 from lodegraph.sources.graph import TYPE_SHIFT
+from lodegraph.sources.shared import settle
 
 FORMAT = 1
 
@@ -123,7 +125,7 @@ class Translational(_Fitted):
     @classmethod
     def load(cls, path: str, graph, to=None, relation=None, reverse=False):
         """Vectors found again by name; nodes and relations that the file lacks have zeros and are listed as missing."""
-        meta = json.loads(graph.spark.read.parquet(f"{path}/meta").first().meta)
+        meta = provenance(graph.spark, path)
         if meta["format"] != FORMAT:
             raise ValueError(f"format {meta['format']}, not {FORMAT}")
         if meta["model"] != cls.name:
@@ -197,34 +199,28 @@ def corrupted(rng: np.random.Generator, places: np.ndarray, types: np.ndarray, s
     return starts[types] + (rng.random(len(places)) * sizes[types]).astype(np.int64)
 
 
-def train(model: Translational, graph, epochs=50, batch_size=4096, lr=0.01, seed=42, report=None, most_triples=5_000_000) -> Translational:
-    """Adam on a margin ranking loss: a triple must outscore itself with its head, and with its tail, replaced within the type."""
-    triples = [(s, k, d) for k, r in enumerate(graph.relations) for s, d in graph.edges([r]).limit(most_triples + 1).toPandas().itertuples(index=False)]
-    if not triples:
-        raise ValueError("no edges to train on")
-    if len(triples) > most_triples:
-        raise ValueError(f"more than {most_triples} triples; train on fewer relations or raise most_triples")
-    nids = np.sort(graph.nodes().toPandas().nid.to_numpy(np.int64))
-    raw = np.array(triples, np.int64)
-    heads, tails = np.searchsorted(nids, raw[:, 0]), np.searchsorted(nids, raw[:, 2])
-    kinds = nids >> TYPE_SHIFT
-    starts = np.searchsorted(kinds, np.arange(len(graph.types)), side="left")
-    sizes = np.searchsorted(kinds, np.arange(len(graph.types)), side="right") - starts
-    rng, k = np.random.default_rng(seed), model.factors
-    entity = {t: rng.normal(scale=np.sqrt(2 / (len(nids) + k)), size=(len(nids), k)) for t in model.tables[0]}
-    relation = {t: rng.normal(scale=np.sqrt(2 / (len(graph.relations) + k)), size=(len(graph.relations), k)) for t in model.tables[1]}
+def descend(model: Translational, entity: dict, relation: dict, triples: np.ndarray, kinds: np.ndarray, rng: np.random.Generator, epochs: int, batch_size: int, lr: float, report=None) -> float:
+    """Adam on the margin ranking loss, in place; the last epoch's mean loss.
+
+    triples: (head, relation, tail) as places in the arrays; kinds: types of the entities, ascending. A
+    triple must outscore itself with its head, and with its tail, replaced within the type.
+    """
+    starts = np.searchsorted(kinds, np.arange(kinds.max(initial=0) + 1), side="left")
+    sizes = np.searchsorted(kinds, np.arange(kinds.max(initial=0) + 1), side="right") - starts
     params = [*entity.values(), *relation.values()]
-    first, second, step, began, loss = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0, time.time(), 0.0
+    first, second, step, loss = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0, 0.0
+
+    def take(tables: dict, i: np.ndarray) -> dict:
+        return {n: v[i] for n, v in tables.items()}
+
     for epoch in range(epochs):
-        order, losses = rng.permutation(len(raw)), []
-        for at in range(0, len(raw), batch_size):
-            rows = order[at : at + batch_size]
-            h, r, t = heads[rows], raw[rows, 1], tails[rows]
+        order, losses = rng.permutation(len(triples)), []
+        for at in range(0, len(triples), batch_size):
+            h, r, t = triples[order[at : at + batch_size]].T
             grads = [np.zeros_like(p) for p in params]
             ge, gr = dict(zip(entity, grads, strict=False)), dict(zip(relation, grads[len(entity) :], strict=True))
-            take = lambda table, i: {n: v[i] for n, v in table.items()}
 
-            def push(weight, hi, ti, r=r, ge=ge, gr=gr, take=take):
+            def push(weight, hi, ti, r=r, ge=ge, gr=gr):
                 for into, index, part in zip((ge, gr, ge), (hi, r, ti), model.gradient(take(entity, hi), take(relation, r), take(entity, ti)), strict=True):
                     for n, g in part.items():
                         np.add.at(into[n], index, weight[:, None] * g)
@@ -233,7 +229,7 @@ def train(model: Translational, graph, epochs=50, batch_size=4096, lr=0.01, seed
             total = 0.0
             for hi, ti in ((h, corrupted(rng, t, kinds[t], starts, sizes)), (corrupted(rng, h, kinds[h], starts, sizes), t)):
                 gap = model.margin - true + model.plausibility(take(entity, hi), take(relation, r), take(entity, ti))
-                weight = (gap > 0) / len(rows)
+                weight = (gap > 0) / len(h)
                 total += np.maximum(gap, 0).mean()
                 push(-weight, h, t)
                 push(weight, hi, ti)
@@ -246,8 +242,111 @@ def train(model: Translational, graph, epochs=50, batch_size=4096, lr=0.01, seed
         loss = float(np.mean(losses))
         if report:
             report(epoch, loss)
-    columns = {"nid": pa.array(nids), **{t: pa.array(list(v), pa.list_(pa.float64())) for t, v in entity.items()}}
-    model.nodes = graph.spark.createDataFrame(pa.table(columns))
+    return loss
+
+
+def train(model: Translational, graph, epochs=50, batch_size=4096, lr=0.01, seed=42, report=None, most_triples=5_000_000, part_triples=100_000) -> Translational:
+    """Fit the model's vectors to the graph's edges; on the driver up to most_triples, else in parts of about part_triples."""
+    began, k = time.time(), model.factors
+    edges = None
+    for number, name in enumerate(graph.relations):
+        part = graph.edges([name]).select("s", F.lit(number).alias("r"), "d")
+        edges = part if edges is None else edges.unionByName(part)
+    count = edges.count() if edges is not None else 0
+    if not count:
+        raise ValueError("no edges to train on")
+    rng = np.random.default_rng(seed)
+    relation = {t: rng.normal(scale=np.sqrt(2 / (len(graph.relations) + k)), size=(len(graph.relations), k)) for t in model.tables[1]}
+    if count > most_triples:
+        loss, nodes = _in_parts(model, graph, edges, relation, epochs, batch_size, lr, seed, report, max(1, -(-count // part_triples)))
+    else:
+        raw = edges.toPandas().to_numpy(np.int64)
+        nids = np.sort(graph.nodes().toPandas().nid.to_numpy(np.int64))
+        nodes = len(nids)
+        triples = np.stack([np.searchsorted(nids, raw[:, 0]), raw[:, 1], np.searchsorted(nids, raw[:, 2])], axis=1)
+        entity = {t: rng.normal(scale=np.sqrt(2 / (nodes + k)), size=(nodes, k)) for t in model.tables[0]}
+        loss = descend(model, entity, relation, triples, nids >> TYPE_SHIFT, rng, epochs, batch_size, lr, report)
+        columns = {"nid": pa.array(nids), **{t: pa.array(list(v), pa.list_(pa.float64())) for t, v in entity.items()}}
+        model.nodes = graph.spark.createDataFrame(pa.table(columns))
     model.rels = {name: {t: v[i].tolist() for t, v in relation.items()} for i, name in enumerate(graph.relations)}
-    model.meta = {"epochs": epochs, "lr": lr, "batch_size": batch_size, "sampler": "type", "graph_nodes": len(nids), "graph_edges": len(raw), "seconds": round(time.time() - began, 3), "loss": loss}
+    model.meta = {"epochs": epochs, "lr": lr, "batch_size": batch_size, "sampler": "type", "graph_nodes": nodes, "graph_edges": count, "seconds": round(time.time() - began, 3), "loss": loss}
     return model
+
+
+def _part_fit(model, relation: dict, seed: int, epoch: int, batch_size: int, lr: float):
+    """One epoch over one part: (triples, vectors) to new vectors, and a row for each relation."""
+    entity, shared = model.tables[0], {t: v.copy() for t, v in relation.items()}
+
+    def fit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("nid")
+        nids = right.nid.to_numpy(np.int64)
+        own = {t: np.stack(right[t].to_list()).astype(np.float64) for t in entity}
+        rels = {t: v.copy() for t, v in shared.items()}
+        triples = np.stack([np.searchsorted(nids, left.s), left.r.to_numpy(np.int64), np.searchsorted(nids, left.d)], axis=1)
+        triples = triples[np.lexsort(triples.T)]
+        found = descend(model, own, rels, triples, nids >> TYPE_SHIFT, np.random.default_rng([seed, epoch, int(left.part.iloc[0])]), 1, batch_size, lr)
+        rows = pd.DataFrame({"nid": nids, "rel": -1, "weight": 1.0, "loss": 0.0, **{t: list(v) for t, v in own.items()}})
+        # A relation counts by its triples here; its tables follow each other in the first vector.
+        used = np.bincount(triples[:, 1], minlength=len(next(iter(rels.values()))))
+        first = {entity[0]: [np.concatenate([v[i] for v in rels.values()]) for i in range(len(used))], **{t: [None] * len(used) for t in entity[1:]}}
+        return pd.concat([rows, pd.DataFrame({"nid": -1, "rel": np.arange(len(used)), "weight": used.astype(float), "loss": found, **first})])
+
+    return fit
+
+
+def _in_parts(model, graph, edges, relation, epochs, batch_size, lr, seed, report, parts: int) -> tuple[float, int]:
+    """Epochs over triples dealt to parts; (last loss, nodes). What reaches the driver are relations and losses, a row for each part.
+
+    A replaced end is drawn from the part's own nodes of the type. A part's nodes are at most twice its triples, so a hot
+    node is copied to each part but is never a part's bulk.
+    """
+    entity, k, spark = model.tables[0], model.factors, graph.spark
+    bare = type(model)(model.factors, model.margin, model.seed)
+    edges = settle(edges, "train-edges")
+
+    def draw(batches):
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            made = [[np.random.Generator(np.random.Philox(key=[seed, n * len(entity) + j])).normal(scale=1 / np.sqrt(k), size=k) for n in ids] for j in range(len(entity))]
+            yield pa.record_batch([batch.column(0), *(pa.array(m, pa.list_(pa.float64())) for m in made)], ["nid", *entity])
+
+    kinds = ", ".join(f"{t} array<double>" for t in entity)
+    vectors = settle(graph.nodes().mapInArrow(draw, f"nid bigint, {kinds}"), "train-vectors")
+    nodes, loss = vectors.count(), 0.0
+    for epoch in range(epochs):
+        dealt = edges.withColumn("part", F.pmod(F.xxhash64("s", "r", "d", F.lit(seed + epoch)), F.lit(parts)).cast("int"))
+        touched = dealt.select(F.col("part").alias("of"), F.explode(F.array("s", "d")).alias("nid")).distinct().join(vectors, "nid")
+
+        made = dealt.groupBy("part").cogroup(touched.groupBy("of")).applyInPandas(_part_fit(bare, relation, seed, epoch, batch_size, lr), f"nid bigint, rel int, weight double, loss double, {kinds}")
+        made = settle(made, "train-parts")
+        rows = made.where("rel >= 0").select("rel", "weight", "loss", entity[0]).toPandas()  # parts times relations
+        for i, group in rows[rows.weight > 0].groupby("rel"):
+            mean = np.average(np.stack(group[entity[0]].to_list()), axis=0, weights=group.weight)
+            for t, v in zip(relation, np.split(mean, len(relation)), strict=True):
+                relation[t][i] = v
+        loss = float(np.average(rows.loss, weights=np.maximum(rows.weight, 1e-9)))
+        means = [F.array(*(F.avg(F.col(t)[i]) for i in range(k))).alias(t) for t in entity]
+        new = made.where("rel < 0").groupBy("nid").agg(*means)
+        kept = vectors.join(new.select("nid"), "nid", "left_anti").unionByName(new)
+        vectors = settle(kept, "train-vectors")
+        if report:
+            report(epoch, loss)
+    model.nodes = vectors
+    return loss, nodes
+
+
+#: Models by the name that stored vectors carry.
+MODELS = {model.name: model for model in (TransE, TransD)}
+
+
+def provenance(spark, path: str) -> dict:
+    """What stored vectors say of themselves; needs no graph."""
+    return json.loads(spark.read.parquet(f"{path}/meta").first().meta)
+
+
+def load(path: str, graph, **aim) -> Translational:
+    """Stored vectors as a model of the class that they name."""
+    name = provenance(graph.spark, path)["model"]
+    if name not in MODELS:
+        raise ValueError(f"vectors of {name!r}, which is no model here")
+    return MODELS[name].load(path, graph, **aim)

@@ -352,8 +352,11 @@ def pagerank_rwr(g):
     return _ranked(g, [("nation", 3), ("nation", 4), ("nation", 999)])
 
 
-def _factors(rounds: int) -> str:
-    """Two factors by alternating least squares, in closed form: u<rounds>(k, x, y) and i<rounds>."""
+_PAIRS = "SELECT DISTINCT user_id AS u, json_extract_string(props, '$.k')::BIGINT AS i FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL"
+
+
+def _factors(rounds: int, pairs: str = _PAIRS) -> str:
+    """Two factors of the pairs (u, i) by alternating least squares, in closed form: u<rounds>(k, x, y) and i<rounds>."""
     at = "(7::BIGINT * 281474976710656 + k)"
     draw = "0.1 * sqrt(-2 * ln({0})) * cos({1})"
 
@@ -361,7 +364,7 @@ def _factors(rounds: int) -> str:
         return f"((('0x' || substr(md5('42|{j}|' || {at}), {part}, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
 
     start = ", ".join(draw.format(uniform(j, 1), f"2 * pi() * {uniform(j, 17)}") + f" AS {c}" for j, c in enumerate("xy"))
-    out = ["p AS MATERIALIZED (SELECT DISTINCT user_id AS u, json_extract_string(props, '$.k')::BIGINT AS i FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL)", f"i0 AS (SELECT k, {start} FROM (SELECT DISTINCT i AS k FROM p))"]
+    out = [f"p AS MATERIALIZED ({pairs})", f"i0 AS (SELECT k, {start} FROM (SELECT DISTINCT i AS k FROM p))"]
     for n in range(1, rounds + 1):
         for near, far, known, name in (("u", "i", f"i{n - 1}", f"u{n}"), ("i", "u", f"u{n}", f"i{n}")):
             sums = f"(SELECT p.{near} AS k, sum(x * x) + 0.05 AS a, sum(x * y) AS b, sum(y * y) + 0.05 AS c, sum(x) AS p, sum(y) AS q FROM p JOIN {known} f ON f.k = p.{far} GROUP BY p.{near})"
@@ -400,6 +403,39 @@ def mf_matched_user(g):
     return table(g.select(i.id, Score()).where(Has(c, "has_interact", i), c.c_acctbal > 5000).rank(mf), "i", "score").withColumn("score", F.round("score", 6))
 
 
+_SPLIT = (
+    f"pairs AS MATERIALIZED (SELECT u, i, count(*) OVER (PARTITION BY u) AS n, row_number() OVER (PARTITION BY u ORDER BY md5('42|' || u || '|' || i), i) AS place FROM ({_PAIRS})), "
+    "parted AS MATERIALIZED (SELECT u, i, n > 1 AND place <= round(n * 0.2) AS held FROM pairs)"
+)
+
+
+@query(
+    f"WITH {_SPLIT}, {_factors(3, 'SELECT u, i FROM parted WHERE NOT held')}, "
+    "near AS (SELECT DISTINCT a.u, c.i FROM p a JOIN p b ON b.i = a.i JOIN p c ON c.u = b.u), "
+    "offered AS (SELECT near.u, near.i, a.x * b.x + a.y * b.y AS s FROM near ANTI JOIN p ON p.u = near.u AND p.i = near.i JOIN u3 a ON a.k = near.u JOIN i3 b ON b.k = near.i), "
+    "ranked AS (SELECT u, i, row_number() OVER (PARTITION BY u ORDER BY s DESC, i) AS rank FROM offered QUALIFY rank <= 10), "
+    "wanted AS (SELECT u, count(*) AS w FROM parted WHERE held GROUP BY u), given AS (SELECT u, count(*) AS g FROM ranked GROUP BY u), "
+    "hits AS (SELECT r.u, count(*) AS h, sum(1 / log2(rank + 1)) AS gain FROM ranked r JOIN parted t ON t.u = r.u AND t.i = r.i AND t.held GROUP BY r.u) "
+    "SELECT count(*) AS users, round(avg(coalesce(h / g, 0)), 9) AS precision, round(avg(coalesce(h, 0) / w), 9) AS recall, round(avg(CASE WHEN h > 0 THEN 1 ELSE 0 END), 9) AS hit_rate, "
+    "round(avg(coalesce(gain, 0) / list_sum(list_transform(generate_series(1, least(w, 10)), lambda j: 1 / log2(j + 1)))), 9) AS ndcg FROM wanted LEFT JOIN given USING (u) LEFT JOIN hits USING (u)"
+)
+def evaluate_factors(g):
+    """Items recommended to every customer from those of customers with an item in common, against the pairs held out."""
+    from lodegraph.operators.evaluation import quality, split
+
+    pairs = split(g.memo["files"]["events"].where("item is not null"), "user_id", "item")
+    learnt = EdgeTable("has_interact", pairs.where("not held"), ("customer", "user_id"), ("item", "item"))
+    known = g.only(["has_interact"])
+    known.parts = {"has_interact": Graph.from_tables([NodeTable(t, g.spark.range(0), "id") for t in g.types], [learnt], related=True).parts["has_interact"]}
+    c, seen, mate, i, path = Node("customer"), Node("item"), Node("customer"), Node("item"), Path()
+    mf = MatrixFactorization(factors=2, iterations=3, item_type="item", user_type="customer")
+    found = known.select(c.id, i.id).where(path == [c, Edge(), seen, Edge(), mate, Edge(), i], ~Has(c, "has_interact", i)).groupby(c).rank(mf).top(10)
+    rows, order = found.ranked()
+    user, item = (F.col(n).bitwiseAND(F.lit((1 << 48) - 1)) for n in found.columns())
+    given = rows.select(user.alias("user_id"), item.alias("item"), F.col("_rn").alias("rank"))
+    return quality(given, pairs.where("held"), "user_id", "item").select("users", *(F.round(m, 9).alias(m) for m in ("precision", "recall", "hit_rate", "ndcg")))
+
+
 @query("SELECT a.vec_id AS v, round(-sqrt(list_sum(list_transform(generate_series(1, 64), lambda i: (s.embedding[i]::DOUBLE + 0.01 - a.embedding[i]::DOUBLE) ^ 2))), 6) AS p FROM embeddings a, embeddings s WHERE s.vec_id = 0")
 def transe_plausibility(g):
     from lodegraph import TransE

@@ -39,8 +39,18 @@ def test_training_learns_and_records_itself(graph):
     assert seen[-1] < seen[0] and model.meta["graph_edges"] == len(TRIPLES) + len(CREWS) and model.meta["graph_nodes"] == len(SHIPS) + len(PORTS) + len(FIRMS) + len(SAILORS)
     with pytest.raises(ValueError, match="no edges"):
         train(TransE(factors=2), lodegraph.Graph(graph.spark, graph.types, [], graph.tables, {}))
-    with pytest.raises(ValueError, match="triples"):
-        train(TransE(factors=2), graph, most_triples=3)
+
+
+@pytest.mark.parametrize("kind", MODELS)
+def test_training_in_parts_learns_too(graph, kind):
+    seen = []
+    model = train(kind(factors=6), graph, epochs=8, lr=0.1, report=lambda e, loss: seen.append(loss), most_triples=3, part_triples=8)
+    rows = {r.nid: r for r in model.nodes.collect()}
+    assert len(rows) == model.meta["graph_nodes"] == graph.nodes().count() and model.meta["graph_edges"] == graph.edges().count()
+    assert seen[-1] < seen[0] and set(model.rels) == set(graph.relations)
+    assert all(len(r[t]) == 6 for r in rows.values() for t in model.tables[0]) and all(len(v[t]) == 6 for v in model.rels.values() for t in model.tables[1])
+    ship = Node("ship")
+    assert len(graph.select(ship, Score()).rank(model.seeded({"firm.Adria"}))) == len(SHIPS)
 
 
 def test_negatives_stay_in_their_type():
@@ -85,6 +95,8 @@ def test_storage_rebinds_by_name(spark, folder, tmp_path, graph, fitted):
     for key in ("ship.s1", "firm.Baltia", "sailor.3"):
         assert np.allclose(old[graph.lookup(key)].vec, new[other.lookup(key)].vec)
     assert set(new[other.lookup("ship.s9")].vec) == {0.0}
+    named = lodegraph.load(path, other, to={"firm.Adria"})
+    assert type(named) is type(fitted) and lodegraph.provenance(spark, path)["note"] == "x" and lodegraph.provenance(spark, path)["graph_edges"] == fitted.meta["graph_edges"]
     wrong = TransD if isinstance(fitted, TransE) else TransE
     with pytest.raises(ValueError, match="vectors of"):
         wrong.load(path, graph)
