@@ -35,8 +35,8 @@ from lodegraph.llm.common import GOLDEN, bounded_arrow, bytes_of, components, di
 
 #: Classes of a bucket that are compared as pairs at most, and of either side of a block, and shingles of these.
 PAIRED, BLOCK, BLOCK_ITEMS = 12, 1024, 1 << 20
-#: Bits of the map of ids whose sets are wanted (8 MB).
-MAP_BITS = 26
+#: Bits of the map of ids whose sets are wanted: eight for each, from 32 kB to 64 MB. It saves moving sets; what it lets through is joined exactly.
+LEAST_BITS, MOST_BITS = 18, 29
 #: 32 bands of 6 coordinates miss a pair of similarity 0.85 once in 4 million, one of 0.8 once in 17 thousand.
 BANDS, ROWS = 32, 6
 
@@ -121,13 +121,13 @@ def _signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text", "tag").mapInArrow(run, "doc_id bigint, tag bigint, n bigint, fp1 bigint, fp2 bigint, keys array<bigint>, sketch binary")
 
 
-def _wanted_map(ids: DataFrame) -> np.ndarray:
-    """A bit for each hash of an id that is wanted; of fixed size, so it may be broadcast whatever the number of ids."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
+def _wanted_map(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each hash of an id that is wanted; of bounded size, so it may be broadcast whatever the number of ids."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
     buckets = ids.select(place.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k"))
     rows = buckets.agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("m")).collect()
     # Buckets of 32768 bits count from 1, their values from (k - 1) * 32768 + 1.
-    out = np.zeros((1 << MAP_BITS) // 8 + 8192, np.uint8)
+    out = np.zeros((1 << bits) // 8 + 8192, np.uint8)
     for r in rows:
         out[(r.k) * 4096 : (r.k + 1) * 4096] = np.frombuffer(r.m, np.uint8)
     return out
@@ -137,8 +137,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(node, items) of the wanted classes: (node, doc_id, fp1, fp2). Texts stay in the scan's tasks; only wanted sets move."""
     import xxhash  # noqa: F401  (its absence should show here)
 
-    mask = docs.sparkSession.sparkContext.broadcast(_wanted_map(wanted))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
+    bits = min(MOST_BITS, max(LEAST_BITS, (8 * wanted.count()).bit_length()))
+    mask = docs.sparkSession.sparkContext.broadcast(_wanted_map(wanted, bits))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
     rows = docs.select("text", F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
