@@ -13,7 +13,7 @@ from lodegraph.sources.shared import reachable, settle
 #: An Arrow batch handed to Python holds at most this many bytes (and at least one row).
 BATCH_BYTES = 8 << 20
 #: Bytes that an operator's cache takes in a Python worker at most; what an operator must hold (a model, a vocabulary) comes on top.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 32 << 20
 
 #: What this Python worker keeps between tasks: of one operator only, so that a worker that serves several never holds the sum.
 _HELD: list[tuple] = []
@@ -114,6 +114,11 @@ def discard(*settled: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver's JVM see which plans nobody holds any more: its cleaner then deletes their shuffles from the executors' disks."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Connected components of undirected links: (node, component), the smallest reachable node.
 

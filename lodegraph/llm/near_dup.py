@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import GOLDEN, bounded_arrow, bytes_of, components, discard, hashed_words, let_go, mix, parts, settle
+from lodegraph.llm.common import GOLDEN, bounded_arrow, bytes_of, components, discard, hashed_words, let_go, mix, parts, release, settle
 
 #: Classes of a bucket that are compared as pairs at most, and of either side of a block, and shingles of these.
 PAIRED, BLOCK, BLOCK_ITEMS = 12, 1024, 1 << 20
-#: Bits of the map of ids whose sets are wanted: eight for each, from 32 kB to 64 MB. It saves moving sets; what it lets through is joined exactly.
-LEAST_BITS, MOST_BITS = 18, 29
+#: Bits of the map of ids whose sets are wanted: eight for each, from 8 to 64 MB. It saves moving sets; what it lets through is joined exactly.
+LEAST_BITS, MOST_BITS = 26, 29
 #: 32 bands of 6 coordinates miss a pair of similarity 0.85 once in 4 million, one of 0.8 once in 17 thousand.
 BANDS, ROWS = 32, 6
 
@@ -252,7 +252,8 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, tag, n, component, least) for every row: tag is xxhash64 of the text, n the size of its set,
     component the number of its group of near duplicates and least the least id in it (null if it has none); both null where n is 0.
     """
-    bounded_arrow(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_arrow(spark)
     text = docs[text_col].cast("string")
     source = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tag"))
     signed = settle(_signatures(source, shingle, bands, rows), "near-signatures")
@@ -273,9 +274,11 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     sketches = settle(met, "near-sketches")
     sets = settle(_sets(source, sketches.select("node", "doc_id", "fp1", "fp2"), shingle).dropDuplicates(["node"]), "near-sets")
 
-    links, joined, spent = None, None, [members, sketches, sets]
+    links, joined, spent = None, None, [sketches, sets]
     sketches = sketches.select("node", "sketch")
     for step in range(pivots + 1):
+        release(spark)
+        over = [members] if joined is None else [members, joined]  # what this step is the last to read
         if joined is None:
             now = members.withColumn("c", F.col("node"))
         else:
@@ -288,10 +291,9 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             pairs = now.join(tried, "key").where(F.col("c") != F.col("pc")).select("node", "n", F.col("pivot").alias("other"), F.col("pn").alias("on"))
             # A pivot has met its bucket: the next one is another class.
             members = settle(members.join(tried.select("key", "pivot"), "key", "left").where("pivot is null or pivot <> node").drop("pivot"), "near-members")
-            spent.append(members)
         else:
             left = settle(now.join(open_.select("key", "m", "t"), "key").select("key", "node", "n", "c", "m", "t"), "near-open")
-            spent.append(left)
+            over.append(left)
             here = left.where(F.col("m") <= PAIRED).drop("m", "t")
             there = here.select("key", F.col("node").alias("other"), F.col("n").alias("on"), F.col("c").alias("oc"))
             pairs = here.join(there, "key").where("node < other and c <> oc").select("node", "n", "other", "on")
@@ -302,8 +304,9 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             found = found.unionByName(_in_blocks(left.where(F.col("m") > PAIRED), sets, percent))
         found = settle(found, "near-links")
         links = found if links is None else links.unionByName(found)
-        spent += [found] if joined is None else [found, joined]
+        spent.append(found)
         joined = components(links, "a", "b")
+        discard(*over)
     discard(*spent)  # what follows reads signatures, nodes and the last components
 
     known = classes.join(joined.select(F.col("node").alias("of"), "component"), F.col("node") == F.col("of"), "left")

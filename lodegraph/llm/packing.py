@@ -52,10 +52,9 @@ class WordIds:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.whole = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         # Plain words in lower case are what normalization and splitting leave alone.
-        self.plain = Tokenizer.from_file(tokenizer_file)
-        self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.plain = None, pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.last[i] = piece.endswith("</w>")
@@ -70,7 +69,11 @@ class WordIds:
         """Plain words in lower case, in one call: each ends at an id that ends a word."""
         if not words:
             return []
-        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.plain
+        try:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        finally:
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.whole
         ends = np.flatnonzero(self.last[ids]) + 1
         return np.split(ids, ends[:-1]) if len(ends) == len(words) else [self.one(w) for w in words]
 

@@ -21,13 +21,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodegraph.llm.common import CACHE_BYTES, bounded_arrow, held
+from lodegraph.llm.common import bounded_arrow, held
 
 MARK = "▁"
 #: Score that an unknown character has below the least score of the vocabulary.
 UNKNOWN_PENALTY = 10.0
 #: Words that a Python worker keeps the counts of; at that number it starts anew. Longer words than LONGEST are counted each time.
-KEPT_WORDS, LONGEST = CACHE_BYTES // 160, 64
+KEPT_WORDS, LONGEST = 300_000, 64
 
 
 def unigram_vocabulary(model_file: str) -> list[tuple[str, float]]:
