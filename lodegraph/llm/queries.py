@@ -112,6 +112,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from lodegraph.llm import ann, chat, mixing, near_dup, url_filter, vector_dup
+    from lodegraph.llm import ann, chat, mixing, near_dup, sharding, url_filter, vector_dup
 
-    return {"op3_nearest": ann.SQL, "op5_near_dedup": near_dup.SQL, "op6_mixing": mixing.SQL, "op7_chat_format": chat.SQL, "op8_vector_dedup": vector_dup.SQL, "op10_url_filter": url_filter.SQL}
+    return {
+        "op3_nearest": ann.SQL,
+        "op5_near_dedup": near_dup.SQL,
+        "op6_mixing": mixing.SQL,
+        "op7_chat_format": chat.SQL,
+        "op8_vector_dedup": vector_dup.SQL,
+        "op9_sharding": sharding.SQL,
+        "op10_url_filter": url_filter.SQL,
+    }

@@ -19,7 +19,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -140,6 +140,11 @@ def cuts(groups: DataFrame, shards: int) -> Cuts:
     return Cuts([int(table[0][i]) for i in even(table[1], capacity, left)], alone, capacity)
 
 
+def _digest(text: Column, bits: int) -> Column:
+    """The first bits of the text's md5 as a number."""
+    return F.conv(F.substring(F.md5(text), 1, bits // 4), 16, 10).cast("bigint")
+
+
 def shard(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
     """(id_col, size, text_crc32, shard, slot) for every row; equal texts share a shard, sizes are near equal.
 
@@ -150,7 +155,8 @@ def shard(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", text_col
     """
     text, key = docs[text_col].cast("string"), docs[id_col]
     named = F.coalesce(F.concat(F.lit("t"), text), F.concat(F.lit("n"), F.coalesce(key.cast("string"), F.lit(""))))
-    rows = docs.select(key.alias("id"), (F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + overhead).alias("size"), F.crc32(text).alias("crc"), F.conv(F.substring(F.md5(named), 1, KEY_BITS // 4), 16, 10).cast("bigint").alias("group"))
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + overhead
+    rows = docs.select(key.alias("id"), size.alias("size"), F.crc32(text).alias("crc"), _digest(named, KEY_BITS).alias("group"))
     rows = settle(rows, "shard-rows")
     found = cuts(settle(rows.groupBy("group").agg(F.sum("size").alias("bytes")), "shard-groups"), shards)
     place = F.lit(-1)
@@ -158,7 +164,8 @@ def shard(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", text_col
         place = place + (F.col("group") >= start).cast("int")
     for k, group in enumerate(found.alone):
         place = F.when(F.col("group") == group, len(found.starts) + k).otherwise(place)
-    rows = rows.withColumn("shard", place.cast("int")).withColumn("cell", F.pmod(F.xxhash64("id", "size"), F.lit(CELLS)).cast("int"))
+    rows = rows.withColumn("shard", place.cast("int"))
+    rows = rows.withColumn("cell", (_digest(F.concat_ws(" ", "id", "size"), 32) % CELLS).cast("int"))
     # A shard's slots are counted cell by cell, so no shard is sorted in one task.
     counts = rows.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     before = W.partitionBy("shard").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
@@ -166,3 +173,54 @@ def shard(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", text_col
     inside = W.partitionBy("shard", "cell").orderBy("id", "group")
     rows = rows.withColumn("in_cell", F.row_number().over(inside).cast("bigint") - 1).join(F.broadcast(first), ["shard", "cell"])  # at most shards * CELLS rows
     return rows.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("first") + F.col("in_cell")).alias("slot"))
+
+
+#: The same cuts of 40 shards, over single groups.
+SQL = r"""
+WITH RECURSIVE sized AS MATERIALIZED (
+  SELECT doc_id, coalesce(strlen(text), 0) + 16 AS size, text,
+    ('0x' || substr(md5(coalesce('t' || text, 'n' || coalesce(doc_id::VARCHAR, ''))), 1, 15))::BIGINT AS place FROM documents),
+-- crc32 byte by byte, over the table of its 256 remainders.
+rounds AS (
+  SELECT v, v AS c, 0 AS k FROM range(256) t(v) UNION ALL SELECT v, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM rounds WHERE k < 8),
+remainders AS MATERIALIZED (SELECT list(c ORDER BY v) AS t FROM rounds WHERE k = 8),
+summed AS MATERIALIZED (
+  SELECT text, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(text), '..'), lambda h: ('0x' || h)::BIGINT)),
+    lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) AS text_crc32 FROM (SELECT DISTINCT text FROM sized WHERE text IS NOT NULL), remainders),
+grouped AS MATERIALIZED (SELECT place, sum(size)::BIGINT AS bytes FROM sized GROUP BY place),
+ranked AS (
+  SELECT place, bytes, row_number() OVER by_size - 1 AS k, sum(bytes) OVER () AS total, sum(bytes) OVER by_size - bytes AS before FROM grouped
+  WINDOW by_size AS (ORDER BY bytes DESC, place ROWS UNBOUNDED PRECEDING)),
+alone AS MATERIALIZED (
+  SELECT place, k FROM (SELECT place, k, bool_and(k < 39 AND bytes * (40 - k) > total - before) OVER (ORDER BY k) AS apart FROM ranked) WHERE apart),
+ends AS MATERIALIZED (
+  SELECT place, bytes, e - bytes AS b, e FROM (
+    SELECT place, bytes, (sum(bytes) OVER (ORDER BY place))::BIGINT AS e FROM grouped WHERE place NOT IN (SELECT place FROM alone))),
+bound AS MATERIALIZED (SELECT max(e) AS total, max(bytes) AS most, 40 - (SELECT count(*) FROM alone) AS parts FROM ends),
+-- Binary search; each row is one shard of a greedy walk under the middle capacity.
+search AS (
+  SELECT greatest((total + parts - 1) // parts, most) AS low, total AS high, 0::BIGINT AS done, 0::BIGINT AS used FROM bound
+  UNION ALL
+  SELECT CASE WHEN done < total AND used = parts THEN (low + high) // 2 + 1 ELSE low END, CASE WHEN done = total THEN (low + high) // 2 ELSE high END,
+    CASE WHEN done = total OR used = parts THEN 0 ELSE (SELECT max(e) FROM ends WHERE e <= done + (low + high) // 2) END,
+    CASE WHEN done = total OR used = parts THEN 0 ELSE used + 1 END
+  FROM search, bound WHERE low < high),
+least AS MATERIALIZED (SELECT low AS capacity FROM search WHERE low >= high),
+-- The earliest begin of each shard, from the last one back, and the one nearest to equal sizes.
+earliest AS (
+  SELECT parts AS j, total AS p FROM bound UNION ALL
+  SELECT j - 1, coalesce((SELECT max(e) FROM ends WHERE b < p - capacity), 0) FROM earliest, least WHERE j > 1),
+goals AS (SELECT j, total * j / parts AS goal FROM bound, range(1, 40) t(j) WHERE j < parts),
+nearest AS (
+  SELECT j, CASE WHEN min(e) - goal <= goal - min(b) THEN min(e) ELSE min(b) END AS p FROM goals JOIN ends ON e >= goal GROUP BY j, goal),
+starts AS (
+  SELECT 0::BIGINT AS j, 0::BIGINT AS p UNION ALL
+  SELECT s.j + 1, least(greatest(n.p, f.p, (SELECT min(e) FROM ends WHERE e > s.p)), (SELECT max(e) FROM ends WHERE e <= s.p + capacity))
+  FROM starts s JOIN nearest n ON n.j = s.j + 1 JOIN earliest f ON f.j = s.j + 1, least, bound WHERE s.p < total),
+kept AS MATERIALIZED (SELECT j, p FROM starts, bound WHERE p < total),
+placed AS MATERIALIZED (
+  SELECT place, max(j) AS shard FROM ends JOIN kept ON p <= b GROUP BY place
+  UNION ALL SELECT place, (SELECT count(*) FROM kept) + k FROM alone)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY cell, doc_id NULLS FIRST, place) - 1 AS slot, NULL::INT AS grown_shard
+FROM (SELECT *, ('0x' || substr(md5(concat_ws(' ', doc_id, size)), 1, 8))::BIGINT % 1024 AS cell FROM sized) JOIN placed USING (place) LEFT JOIN summed USING (text)
+"""
