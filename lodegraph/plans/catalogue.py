@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodegraph import (
     Alphabetical, Compare, Connectivity, DiffusedMatrixFactorization, Edge, EdgeTable, Graph, Greedy, Has, Like, MatrixFactorization, Node, NodeTable, PageRank, Path, Score, from_files,
 )
-from lodegraph.sources.shared import shared_folder
+from lodegraph.sources.shared import settle, shared_folder
 
 QUERIES: dict[str, Callable[[Graph], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -423,7 +423,7 @@ def evaluate_factors(g):
     """Items recommended to every customer from those of customers with an item in common, against the pairs held out."""
     from lodegraph.operators.evaluation import quality, split
 
-    pairs = split(g.memo["files"]["events"].where("item is not null"), "user_id", "item")
+    pairs = settle(split(g.memo["files"]["events"].where("item is not null"), "user_id", "item"), "split-pairs")  # read by each edge of the pattern and each iteration
     learnt = EdgeTable("has_interact", pairs.where("not held"), ("customer", "user_id"), ("item", "item"))
     known = g.only(["has_interact"])
     known.parts = {"has_interact": Graph.from_tables([NodeTable(t, g.spark.range(0), "id") for t in g.types], [learnt], related=True).parts["has_interact"]}

@@ -27,3 +27,20 @@ def test_every_customer_gets_its_top_items(spark):
         got.setdefault(r.c, []).append(r.i)
     assert {c: len(set(i)) for c, i in got.items()} == {c: min(3, n) for c, n in items.items()}
     assert max(got) >= 20
+
+
+def test_hidden_nodes_in_a_row_go_by_the_rows_they_make(spark, monkeypatch):
+    """Many users of few items: joining at the items would pair all users."""
+    from lodegraph import Edge, EdgeTable, Graph, Node, NodeTable, Path
+    from lodegraph.operators import search
+
+    made = []
+    settle = search.settle
+    monkeypatch.setattr(search, "settle", lambda df, name: made.append(settle(df, name)) or made[-1])
+    pairs = [(u, i) for u in range(60) for i in ((0, 1) if u else (0, 1, 2))]
+    users, items = (spark.range(n).withColumnRenamed("id", c) for n, c in ((60, "u"), (3, "i")))
+    g = Graph.from_tables([NodeTable("user", users, "u"), NodeTable("item", items, "i")], [EdgeTable("has", spark.createDataFrame(pairs, "u bigint, i bigint"), ("user", "u"), ("item", "i"))])
+    c, seen, mate, i, path = Node("user"), Node("item"), Node("user"), Node("item"), Path()
+    got = g.select(c.id, i.id).where(path == [c, Edge(), seen, Edge(), mate, Edge(), i]).to_df("c", "i", ordered=False)
+    assert sorted(map(tuple, got.collect())) == [(u, i) for u in range(60) for i in range(3)]
+    assert [df.count() for df in made] == [9]  # pairs of items, not of users
